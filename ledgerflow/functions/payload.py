@@ -34,26 +34,21 @@ def unique_keys(entries: Column) -> Column:
     return F.when(F.size(keys) == F.size(distinct), entries).otherwise(rebuilt)
 
 
-def empty_map() -> Column:
-    return F.expr(f"cast(map() as {PAYLOAD_MAP})")
+def without_keys(payload: Column | str, keys: Column) -> Column:
+    """The JSON text of an object less some keys, repeated keys resolved."""
+    entries = unique_keys(payload_map(payload))
+    return F.to_json(F.map_filter(entries, lambda key, _: ~F.array_contains(keys, key)))
 
 
-def overwrite(base: Column, *layers: Column) -> Column:
-    """`base` with the entries of each layer put on top of it, the last on top."""
-    result = base
-    for layer in layers:
-        result = F.map_concat(_without_keys_of(result, layer), layer)
-    return result
+def joined_objects(first: str, second: str) -> Column:
+    """One JSON object text with the members of two, which must not share a key.
 
-
-def _without_keys_of(base: Column, layer: Column) -> Column:
-    return F.map_filter(base, lambda key, _: ~F.map_contains_key(layer, key))
-
-
-def entries_map(entries: list[tuple[str, Column]]) -> Column:
-    """A payload map of constant keys; entries whose value is null are left out."""
-    pairs = [F.struct(F.lit(key).alias("key"), value.cast("variant").alias("value")) for key, value in entries]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
+    Takes column names, because each text is used more than once.
+    """
+    head, tail = F.col(first), F.col(second)
+    body = F.substr(head, F.lit(1), F.length(head) - 1)
+    both = F.concat(body, F.lit(","), F.substr(tail, F.lit(2)))
+    return F.when(head == "{}", tail).when(tail == "{}", head).otherwise(both)
 
 
 def is_json(payload: Column | str) -> Column:

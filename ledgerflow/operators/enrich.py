@@ -1,7 +1,7 @@
 """Enrichment of events (P1-P15, P19): envelope, fields, tags, profiles.
 
-All of it is one narrow projection of built-in expressions. The payload is parsed
-once per row, into a map column that the later expressions share.
+All of it is a narrow stage of built-in expressions: nothing is shuffled and nothing
+leaves the JVM.
 """
 
 from __future__ import annotations
@@ -16,23 +16,14 @@ from pyspark.sql import functions as F
 
 from ledgerflow import fixed_values as fixed
 from ledgerflow.functions.ids import full_type, row_id
-from ledgerflow.functions.payload import (
-    empty_map,
-    entries_map,
-    overwrite,
-    payload_map,
-    unique_keys,
-)
+from ledgerflow.functions.payload import joined_objects, without_keys
 from ledgerflow.functions.times import as_of_column, event_time, run_time
 from ledgerflow.schemas import EVENT_KEY, EVENT_METADATA
 
-_PAYLOAD = "_payload"
+_TEXT, _KEYS, _DOC, _AMOUNT, _USER = "_text", "_keys", "_doc", "_amount", "_user"
+_ADDED, _NAMES = "_added", "_names"
 AsOf = datetime | int | None
 
-# Payload keys that an action's fields are taken from, and the names they get.
-# The amount's name carries the action.
-_ACTION_FIELDS = (("asset_id", "asset_id"), ("user", "user_address"), ("pool_id", "pool_id"))
-
 
 def in_protocol(prefixes: Sequence[str] = fixed.PREFIX_PROTOCOL_IDS) -> Column:
     """Whether the package id starts with one of the protocol's ids."""
@@ -64,55 +55,80 @@ def event_tags(prefixes: Sequence[str] = fixed.PREFIX_PROTOCOL_IDS) -> Column:
     return F.array_compact(F.array(*protocol, action_label(), F.col("type_module")))
 
 
-def with_payload(events: DataFrame) -> DataFrame:
-    """Add the parsed payload as a map column, repeated keys resolved."""
-    parsed = events.withColumn(_PAYLOAD, payload_map("parsed_json"))
-    return parsed.withColumn(_PAYLOAD, unique_keys(F.col(_PAYLOAD)))
-
-
-def event_fields(
+def with_fields(
+    events: DataFrame,
     *,
     include_raw: bool = True,
     custom_fields: bool = True,
     prefixes: Sequence[str] = fixed.PREFIX_PROTOCOL_IDS,
-) -> Column:
-    """Payload keys, overwritten by envelope keys, overwritten by protocol keys.
+) -> DataFrame:
+    """Add `fields`: payload keys, overwritten by envelope keys and protocol keys, as JSON.
 
-    Needs the column of `with_payload`. Payloads that are no objects add nothing.
+    Payloads that are no objects add nothing. Most payloads share no key with what
+    is added and repeat none, so their text is used as it is; only others are taken
+    apart. A payload is parsed into values for known protocol actions alone.
     """
-    envelope = [
-        ("package_id", F.col("package_id")),
-        ("module", F.col("type_module")),
-        ("event_type", F.col("type_name")),
-        ("sender", F.col("sender")),
-        ("transaction_digest", F.col("transaction_digest")),
-        ("event_sequence", F.col("event_seq")),
-        ("timestamp_ms", F.col("timestamp_ms")),
-    ]
-    if include_raw:
-        raw = F.when(F.length("bcs") > 0, F.base64("bcs"))
-        envelope.append(("bcs_data", raw))
-    layers = [entries_map(envelope)]
+    known = in_protocol(prefixes) & action_label().isNotNull()
+    parsed = events.withColumns(
+        {_TEXT: F.get_json_object("parsed_json", "$"), _KEYS: F.json_object_keys("parsed_json")}
+    )
+    members = _envelope_members(include_raw)
     if custom_fields:
-        layers.append(_protocol_fields(prefixes))
-    return F.to_json(overwrite(F.coalesce(F.col(_PAYLOAD), empty_map()), *layers))
+        doc = F.when(known & F.col(_KEYS).isNotNull(), F.try_parse_json("parsed_json"))
+        parsed = parsed.withColumn(_DOC, doc).withColumns(
+            {
+                _AMOUNT: F.try_variant_get(_DOC, "$.amount", "variant"),
+                _USER: F.try_variant_get(_DOC, "$.user", "variant"),
+            }
+        )
+        members |= _protocol_members(prefixes)
+    added = {name: value.alias(name) for name, value in members.items()}
+    names = [F.when(value.isNotNull(), F.lit(name)) for name, value in members.items()]
+    both = parsed.withColumns({_ADDED: F.to_json(F.struct(*added.values())), _NAMES: F.array_compact(F.array(*names))})
+    keys, mine = F.col(_KEYS), F.col(_NAMES)
+    # Nothing is taken away when no key is among the names and none repeats.
+    plain = F.size(F.array_except(keys, mine)) == F.size(keys)
+    own = (
+        F.when(keys.isNull(), F.lit("{}"))
+        .when(plain, F.col(_TEXT))
+        .otherwise(F.coalesce(without_keys("parsed_json", mine), F.col(_TEXT)))
+    )
+    return (
+        both.withColumn(_TEXT, own)
+        .withColumn("fields", joined_objects(_TEXT, _ADDED))
+        .drop(_TEXT, _KEYS, _DOC, _AMOUNT, _USER, _ADDED, _NAMES)
+    )
 
 
-def _protocol_fields(prefixes: Sequence[str]) -> Column:
+def _envelope_members(include_raw: bool) -> dict[str, Column]:
+    members = {
+        "package_id": F.col("package_id"),
+        "module": F.col("type_module"),
+        "event_type": F.col("type_name"),
+        "sender": F.col("sender"),
+        "transaction_digest": F.col("transaction_digest"),
+        "event_sequence": F.col("event_seq"),
+        "timestamp_ms": F.col("timestamp_ms"),
+    }
+    if include_raw:
+        members["bcs_data"] = F.when(F.length("bcs") > 0, F.base64("bcs"))
+    return members
+
+
+def _protocol_members(prefixes: Sequence[str]) -> dict[str, Column]:
+    """Action fields copy payload values of any type; `asset_id` and `pool_id` keep
+    their names, so the payload's own keys serve for them."""
     member = in_protocol(prefixes)
     action = action_label()
-    known = member & action.isNotNull() & F.col(_PAYLOAD).isNotNull()
-    entries = [
-        ("protocol", F.when(member, F.lit(fixed.PROTOCOL_LABEL))),
-        ("action", F.when(member, F.coalesce(action, F.lit(fixed.UNKNOWN_ACTION)))),
-    ]
-    amount = F.element_at(_PAYLOAD, "amount")
+    members = {
+        "protocol": F.when(member, F.lit(fixed.PROTOCOL_LABEL)),
+        "action": F.when(member, F.coalesce(action, F.lit(fixed.UNKNOWN_ACTION))),
+    }
     for label in fixed.ACTION_BY_EVENT.values():
-        entries.append((f"{label}_amount", F.when(known & (action == label), amount)))
-    for source, target in _ACTION_FIELDS:
-        entries.append((target, F.when(known, F.element_at(_PAYLOAD, source))))
-    entries.append(("success", F.when(known, F.lit(True))))
-    return entries_map(entries)
+        members[f"{label}_amount"] = F.when(action == label, F.col(_AMOUNT))
+    members["user_address"] = F.col(_USER)
+    members["success"] = F.when(F.col(_DOC).isNotNull(), F.lit(True))
+    return members
 
 
 def source_event() -> Column:
@@ -120,18 +136,20 @@ def source_event() -> Column:
     key = F.struct(
         F.col("transaction_digest").alias("txDigest"), F.col("event_seq").cast("string").alias("eventSeq")
     )
-    return F.to_json(
+    envelope = F.to_json(
         F.struct(
             key.alias("id"),
             F.col("package_id").alias("packageId"),
             F.col("transaction_module").alias("transactionModule"),
             F.col("sender"),
             full_type("type_address", "type_module", "type_name").alias("type"),
-            F.try_parse_json("parsed_json").alias("parsedJson"),
             F.base64("bcs").alias("bcs"),
             F.col("timestamp_ms").cast("string").alias("timestampMs"),
         )
     )
+    payload = F.coalesce(F.get_json_object("parsed_json", "$"), F.lit("null"))
+    # The envelope is never empty, so it can simply follow the payload.
+    return F.concat(F.lit('{"parsedJson":'), payload, F.lit(","), F.substr(envelope, F.lit(2)))
 
 
 def enrich_events(
@@ -152,13 +170,14 @@ def enrich_events(
     and the source copy; a column that is off is null, so the schema never changes.
     """
     as_of = run_time(as_of)
-    fields = event_fields(include_raw=include_raw, custom_fields=custom_fields, prefixes=prefixes)
+    if extract_fields:
+        events = with_fields(events, include_raw=include_raw, custom_fields=custom_fields, prefixes=prefixes)
     tags = F.concat(event_tags(prefixes), F.array(*[F.lit(t) for t in extra_tags]).cast("array<string>"))
     return _processed(
-        with_payload(events) if extract_fields else events,
+        events,
         as_of,
         timestamp=event_time("timestamp_ms", as_of),
-        fields=fields if extract_fields else F.lit(None).cast("string"),
+        fields=F.col("fields") if extract_fields else F.lit(None).cast("string"),
         event_index=F.col("event_seq"),
         matched=_matched(events),
         tags=tags,
@@ -208,7 +227,7 @@ def enrich_defi(events: DataFrame, *, as_of: AsOf = None, part: str = fixed.CONT
 
 def event_rows(events: DataFrame, *, as_of: AsOf = None, **field_options) -> DataFrame:
     """Flat event rows with number, time in ms and raw bytes, straight from the source events."""
-    return with_payload(events).select(
+    return with_fields(events, **field_options).select(
         row_id(*EVENT_KEY).alias("id"),
         F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint")).alias("checkpoint_sequence"),
         "transaction_digest",
@@ -219,7 +238,7 @@ def event_rows(events: DataFrame, *, as_of: AsOf = None, **field_options) -> Dat
         "sender",
         "timestamp_ms",
         "bcs",
-        event_fields(**field_options).alias("fields"),
+        "fields",
         as_of_column(as_of).alias("created_at"),
     )
 

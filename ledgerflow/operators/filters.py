@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.ids import canonical_id, canonical_id_text, type_parts, type_parts_text
 from ledgerflow.operators.rules import Rule
+from ledgerflow.session import scratch_folder
 
 # Above this many rules the join form is used.
 COMPILED_RULES = 100
@@ -153,6 +154,12 @@ def _join_rules(
 ) -> tuple[DataFrame, list[str]]:
     """Events with one column per shape: the labels that match (or a mark), else null."""
     keys = _rule_keys(rules, type_match)
+    if not small:
+        # Written once, by shape: every join below reads just its part, and the size
+        # of that part tells Spark whether it may be broadcast.
+        folder = scratch_folder(events.sparkSession, "rules")
+        keys.write.partitionBy("shape").parquet(folder)
+        keys = events.sparkSession.read.schema(keys.schema).parquet(folder)
     # At most one row for each combination of the parts, whatever the number of rules.
     shapes = sorted(row["shape"] for row in keys.select("shape").distinct().collect())
     found = F.collect_set(F.struct("number", "name")) if labels else F.first(F.lit(True))

@@ -33,6 +33,9 @@ from ledgerflow.sources.readers import from_checkpoint
 
 log = logging.getLogger(__name__)
 
+# A hash as text, and the row around it.
+QUARANTINE_KEY_BYTES = 80
+
 # A sink gets the processed events of a batch and the batch's number.
 Sink = Callable[[DataFrame, int], None]
 
@@ -163,16 +166,16 @@ class Pipeline:
         try:
             counts = _counts(decided)
             # Quarantine costs a pass over the input, so it is left out when nothing failed.
+            first, last = counts["first"] or 0, counts["last"] or 0
             if counts["errors"]:
-                store.append_quarantine(oc.quarantine(decided, as_of), scope=scope)
+                bad = Extent(counts["errors"], first, last, counts["errors"] * QUARANTINE_KEY_BYTES)
+                store.append_quarantine(oc.quarantine(decided, as_of), scope=scope, extent=bad)
             good = oc.succeeded(decided)
             processed = self._transform(good, as_of)
             if cache and sinks:
                 processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
             clock = time.monotonic()
-            extent = Extent(
-                counts["succeeded"], counts["first"] or 0, counts["last"] or 0, counts["key_bytes"] or 0
-            )
+            extent = Extent(counts["succeeded"], first, last, counts["key_bytes"] or 0)
             stored = store.append_events(processed, scope=scope, extent=extent)
             event_ms = _ms_since(clock)
             for sink in sinks:

@@ -14,14 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow import schemas
 from ledgerflow.functions.ids import row_id
-from ledgerflow.functions.times import as_of_column
+from ledgerflow.functions.times import as_of_column, run_time
 from ledgerflow.operators.reports import latest_progress
 from ledgerflow.operators.transactions import stored_transactions
 
@@ -70,11 +69,17 @@ class Store:
     looks through all stored keys. "checkpoint": only in the row's own checkpoint,
     as is the case for a ledger, where a transaction belongs to one checkpoint;
     an append then looks only into the buckets it writes to.
+
+    With `rebalance` rows are shuffled so that a bucket's rows come together, which
+    keeps small batches from leaving a file per task and bucket, and a bucket that
+    is too large for one task is split. Data that arrives in checkpoint order, such
+    as a backfill, is laid out well already and needs no such shuffle.
     """
 
     spark: SparkSession
     root: str
     bucket_size: int = DEFAULT_BUCKET_SIZE
+    rebalance: bool = True
 
     def __post_init__(self) -> None:
         if self.bucket_size < 1:
@@ -107,9 +112,11 @@ class Store:
         rows = schemas.conform(rows, schemas.TRANSACTION_ROWS)
         return self._append_new(rows, "transactions", ["digest"], ["checkpoint_sequence", "sender"], scope)
 
-    def append_quarantine(self, rows: DataFrame, *, scope: str = "table") -> AppendResult:
+    def append_quarantine(
+        self, rows: DataFrame, *, scope: str = "table", extent: Extent | None = None
+    ) -> AppendResult:
         rows = schemas.conform(rows, schemas.QUARANTINE)
-        return self._append_new(rows, "quarantine", ["record_id"], ["checkpoint_sequence", "reason"], scope)
+        return self._append_new(rows, "quarantine", ["record_id"], ["checkpoint_sequence", "reason"], scope, extent)
 
     def append_event_ledger(self, outcomes: DataFrame, as_of: datetime | int | None = None) -> AppendResult:
         """Record which events were processed, and how."""
@@ -140,19 +147,19 @@ class Store:
         started_at: datetime,
         finished_at: datetime,
     ) -> None:
-        row = (
-            run_id,
-            batch_id,
-            events,
-            transactions,
-            errors,
-            event_ms,
-            transaction_ms,
-            checkpoint_sequence,
-            started_at,
-            finished_at,
+        row = dict(
+            run_id=run_id,
+            batch_id=batch_id,
+            events=events,
+            transactions=transactions,
+            errors=errors,
+            event_ms=event_ms,
+            transaction_ms=transaction_ms,
+            checkpoint_sequence=checkpoint_sequence,
+            started_at=started_at,
+            finished_at=finished_at,
         )
-        self._write_rows([row], schemas.BATCH_LOG, "batch_log")
+        self._write_row(row, schemas.BATCH_LOG, "batch_log")
 
     def write_event_stats(self, stats: DataFrame) -> None:
         """Replace the days that `stats` holds; other days stay."""
@@ -179,8 +186,15 @@ class Store:
         """
         newest = self.progress().agg(F.max("generation")).first()[0]
         generation = (newest or 0) + (1 if reset and newest is not None else 0)
-        now = self.spark.range(1).select(as_of_column(as_of)).first()[0]
-        self._write_rows([(checkpoint, status, now, batch_id, reset, generation)], schemas.PROGRESS, "progress")
+        row = dict(
+            checkpoint_sequence=checkpoint,
+            status=status,
+            updated_at=run_time(as_of),
+            batch_id=batch_id,
+            reset=reset,
+            generation=generation,
+        )
+        self._write_row(row, schemas.PROGRESS, "progress")
 
     def latest_checkpoint(self) -> int | None:
         return latest_progress(self.progress()).first()["latest_checkpoint"]
@@ -215,12 +229,9 @@ class Store:
     def read(self, table: str, schema: T.StructType, *, bucketed: bool = False) -> DataFrame:
         """A stored table; before its first append, an empty frame of its schema."""
         full = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())]) if bucketed else schema
-        try:
-            return self.spark.read.schema(full).parquet(self._path(table))
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not self._exists(table):
             return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(self._path(table))
 
     # --- internals ---------------------------------------------------------
 
@@ -242,21 +253,30 @@ class Store:
 
     def _write(self, rows: DataFrame, table: str, order: list[str]) -> int:
         seen = Observation()
-        # Rebalancing brings a bucket's rows together, so that small batches do not
-        # leave a file per task and bucket, and splits a bucket that is too large.
-        laid_out = rows.observe(seen, F.count("*").alias("n")).hint("rebalance", BUCKET)
+        laid_out = rows.observe(seen, F.count("*").alias("n"))
+        if self.rebalance:
+            laid_out = laid_out.hint("rebalance", BUCKET)
         laid_out.sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).mode("append").parquet(
             self._path(table)
         )
         return seen.get["n"]
 
-    def _write_rows(self, rows: list[tuple], schema: T.StructType, table: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(self._path(table))
+    def _write_row(self, row: dict[str, object], schema: T.StructType, table: str) -> None:
+        values = [_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in schema]
+        self.spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(self._path(table))
+
+    def _exists(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
 
+def _literal(value: object) -> Column:
+    return as_of_column(value) if isinstance(value, datetime) else F.lit(value)
+
+
 def bucket_of(checkpoint: Column | str, bucket_size: int) -> Column:
     value = F.col(checkpoint) if isinstance(checkpoint, str) else checkpoint
     return F.floor(F.coalesce(value, F.lit(0)) / bucket_size).cast("bigint")
@@ -268,12 +288,28 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: list[str], *, small: boo
     For a small batch its keys are broadcast: the stored table is then only
     scanned, on its key columns, instead of shuffled for every append.
     """
-    unique = batch.dropDuplicates(keys)
     stored_keys = stored.select(*keys)
     if small:
         wanted = F.broadcast(batch.select(*keys))
         stored_keys = stored_keys.join(wanted, keys, "left_semi")
-    return unique.join(stored_keys, keys, "left_anti")
+    fresh = batch.join(stored_keys, keys, "left_anti")
+    return fresh.dropDuplicates(keys) if small else unique_rows(fresh, keys)
+
+
+def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, for data that is large and has few copies.
+
+    Only the keys are shuffled, to find those that repeat. The other rows stay
+    where they are; copies are merged before their shuffle, so it does not matter
+    if most rows are copies of one.
+    """
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
+    found = Extent.of(repeated.withColumn("checkpoint_sequence", F.lit(0).cast("bigint")), keys)
+    if found.rows == 0:
+        return rows
+    side = F.broadcast(repeated) if found.key_bytes <= BROADCAST_BYTES else repeated
+    copies = rows.join(side, keys, "left_semi").dropDuplicates(keys)
+    return rows.join(side, keys, "left_anti").unionByName(copies)
 
 
 def read_range(
