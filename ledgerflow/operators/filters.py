@@ -144,9 +144,11 @@ def _rule_keys(rules: DataFrame, type_match: str) -> DataFrame:
     }
     bits = [F.when(given[c], F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(_JOIN_COLUMNS)]
     usable = reduce(and_, [~given[c] | wanted[c].isNotNull() for c in _JOIN_COLUMNS])
-    shape = reduce(lambda a, b: a + b, bits)
+    # A null shape marks a rule that can never match. Filtering here would let Spark
+    # move the parsing of ids below whatever the rules are derived by.
+    shape = F.when(usable, reduce(lambda a, b: a + b, bits))
     columns = [wanted[c].alias(f"rule_{c}") for c in _JOIN_COLUMNS]
-    return rules.where(usable).select("name", "number", shape.alias("shape"), *columns)
+    return rules.select("name", "number", shape.alias("shape"), *columns)
 
 
 def _join_rules(
@@ -158,10 +160,10 @@ def _join_rules(
         # Written once, by shape: every join below reads just its part, and the size
         # of that part tells Spark whether it may be broadcast.
         folder = scratch_folder(events.sparkSession, "rules")
-        keys.write.partitionBy("shape").parquet(folder)
+        keys.hint("rebalance", "shape").write.partitionBy("shape").parquet(folder)
         keys = events.sparkSession.read.schema(keys.schema).parquet(folder)
     # At most one row for each combination of the parts, whatever the number of rules.
-    shapes = sorted(row["shape"] for row in keys.select("shape").distinct().collect())
+    shapes = sorted(row["shape"] for row in keys.select("shape").distinct().collect() if row["shape"] is not None)
     found = F.collect_set(F.struct("number", "name")) if labels else F.first(F.lit(True))
     result, marks = events, []
     for shape in shapes:

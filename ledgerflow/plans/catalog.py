@@ -291,13 +291,6 @@ def profile_lending(spark: SparkSession, folder: str) -> DataFrame:
 _MATCHED = "case when mentioned then 'navi_protocol' else '' end"
 
 
-def _with_fields(processed: DataFrame, *paths: str) -> DataFrame:
-    """The envelope with single fields as text."""
-    shown = {f"field_{p.rsplit('.', 1)[-1]}": F.get_json_object("fields", f"$.{p}") for p in paths}
-    picked = processed.select("id", *[c.alias(n) for n, c in shown.items()])
-    return _envelope(processed).join(picked, "id")
-
-
 def _profile_fields(processed: DataFrame, *paths: str) -> DataFrame:
     shown = [F.get_json_object("fields", f"$.{p}").alias(f"field_{p.rsplit('.', 1)[-1]}") for p in paths]
     return processed.select(
@@ -949,7 +942,7 @@ from ok, ends where j is not null and checkpoint_sequence between done // 4 and
 )
 def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Run the job twice from the start, then read a range of what it stored."""
-    store = Store(spark, scratch_folder(spark, "store"), bucket_size=100)
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=1000)
     events = chain_events(spark, folder)
     for _ in range(2):
         Pipeline().run_batch(events, store, start=0, reset=True, as_of=AS_OF)
@@ -1111,7 +1104,7 @@ from ok where j is not null and ({' or '.join(f'({r})' for r in _RULE_SQL)})
 )
 def stream_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job as a stream into a store, run again with lost stream state."""
-    store = Store(spark, scratch_folder(spark, "store"), bucket_size=100)
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=1000)
     pipeline = Pipeline(rules=_some_rules())
     for _ in range(2):
         state = scratch_folder(spark, "state")

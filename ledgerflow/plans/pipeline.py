@@ -115,9 +115,9 @@ class Pipeline:
     ) -> StreamingQuery:
         """Start the stream; with `interval` None it stops when all present data is done.
 
-        Each micro-batch is cached once and goes to the store and every further sink.
-        A batch that is repeated after a failure changes nothing in the store; other
-        sinks get its number to recognise it by.
+        The new events of a micro-batch are processed once, cached, and go to every
+        sink and then to the store. A batch that is repeated after a failure changes
+        nothing in the store; sinks get its number to recognise it by.
         """
 
         def handle(batch: DataFrame, batch_id: int) -> None:
@@ -161,30 +161,30 @@ class Pipeline:
         as_of = run_time(as_of)
         started = datetime.now(timezone.utc)
         decided = self.outcomes(events)
-        if cache:
-            decided = decided.persist(StorageLevel.MEMORY_AND_DISK)
+        held = [decided.persist(StorageLevel.MEMORY_AND_DISK)] if cache else []
         try:
             counts = _counts(decided)
-            # Quarantine costs a pass over the input, so it is left out when nothing failed.
             first, last = counts["first"] or 0, counts["last"] or 0
+            # Quarantine costs a pass over the input, so it is left out when nothing failed.
             if counts["errors"]:
                 bad = Extent(counts["errors"], first, last, counts["errors"] * QUARANTINE_KEY_BYTES)
                 store.append_quarantine(oc.quarantine(decided, as_of), scope=scope, extent=bad)
-            good = oc.succeeded(decided)
-            processed = self._transform(good, as_of)
-            if cache and sinks:
-                processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
             clock = time.monotonic()
-            extent = Extent(counts["succeeded"], first, last, counts["key_bytes"] or 0)
-            stored = store.append_events(processed, scope=scope, extent=extent)
+            n_events = 0
+            if counts["succeeded"]:
+                extent = Extent(counts["succeeded"], first, last, counts["key_bytes"] or 0)
+                processed = self._transform(store.new_events(oc.succeeded(decided), scope=scope, extent=extent), as_of)
+                if sinks:
+                    held.append(processed.persist(StorageLevel.MEMORY_AND_DISK))
+                # The store comes last: once it has the events they are not new any more,
+                # and a repeated batch would not bring them to a sink that failed.
+                for sink in sinks:
+                    sink(processed, batch_id)
+                n_events = store.append_new_events(processed)
             event_ms = _ms_since(clock)
-            for sink in sinks:
-                sink(processed, batch_id)
-            if cache and sinks:
-                processed.unpersist()
         finally:
-            if cache:
-                decided.unpersist()
+            for frame in held:
+                frame.unpersist()
         clock = time.monotonic()
         n_transactions = 0
         if transactions is not None and self.index_transactions:
@@ -215,7 +215,7 @@ class Pipeline:
             counts["after_filter"],
             counts["succeeded"],
             counts["errors"],
-            stored.written,
+            n_events,
             n_transactions,
             counts["last"],
         )

@@ -87,16 +87,24 @@ class Store:
 
     # --- appends -----------------------------------------------------------
 
-    def append_events(
-        self, processed: DataFrame, *, scope: str = "table", extent: Extent | None = None
-    ) -> AppendResult:
-        """Add processed events whose key is new.
+    def new_events(self, events: DataFrame, *, scope: str = "table", extent: Extent | None = None) -> DataFrame:
+        """Source events, one per key, that are not stored yet.
 
-        A known `extent` (it may be too wide) saves a pass over expensive rows.
+        Ask before enriching: rows are smaller then, and stored ones cost no work. A
+        known `extent` (it may be too wide) saves a pass over the events.
         """
+        return self._new(events, "processed_events", schemas.PROCESSED_EVENTS, schemas.EVENT_KEY, scope, extent)
+
+    def append_new_events(self, processed: DataFrame) -> int:
+        """Add processed events that came through `new_events`; gives their number."""
+        rows = schemas.conform(processed, schemas.PROCESSED_EVENTS)
+        return self._write(rows, "processed_events", ["checkpoint_sequence", "event_type"])
+
+    def append_events(self, processed: DataFrame, *, scope: str = "table") -> AppendResult:
+        """Add processed events whose key is new."""
         rows = schemas.conform(processed, schemas.PROCESSED_EVENTS)
         order = ["checkpoint_sequence", "event_type"]
-        return self._append_new(rows, "processed_events", schemas.EVENT_KEY, order, scope, extent)
+        return self._append_new(rows, "processed_events", schemas.EVENT_KEY, order, scope)
 
     def append_transactions(self, processed: DataFrame, *, scope: str = "table") -> AppendResult:
         """Add processed transactions whose digest is new; copies are skipped, not an error."""
@@ -238,22 +246,34 @@ class Store:
     def _append_new(
         self, rows: DataFrame, table: str, keys: list[str], order: list[str], scope: str, extent: Extent | None = None
     ) -> AppendResult:
-        if scope not in ("table", "checkpoint"):
-            raise ValueError(f"unknown scope: {scope}")
         extent = extent or Extent.of(rows, keys)
         if extent.rows == 0:
             return AppendResult(0, 0)
-        stored = self.read(table, rows.schema, bucketed=True)
-        if scope == "checkpoint":
+        fresh = self._new(rows, table, rows.schema, keys, scope, extent)
+        return AppendResult(extent.rows, self._write(fresh, table, order))
+
+    def _new(
+        self,
+        rows: DataFrame,
+        table: str,
+        schema: T.StructType,
+        keys: list[str],
+        scope: str,
+        extent: Extent | None,
+    ) -> DataFrame:
+        if scope not in ("table", "checkpoint"):
+            raise ValueError(f"unknown scope: {scope}")
+        extent = extent or Extent.of(rows, keys)
+        stored = self.read(table, schema, bucketed=True) if self._exists(table) else None
+        if stored is not None and scope == "checkpoint":
             first, last = extent.first // self.bucket_size, extent.last // self.bucket_size
             stored = stored.where(F.col(BUCKET).between(first, last))
-        fresh = new_rows(rows, stored, keys, small=extent.key_bytes <= BROADCAST_BYTES)
-        written = self._write(fresh.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size)), table, order)
-        return AppendResult(extent.rows, written)
+        return new_rows(rows, stored, keys, small=extent.key_bytes <= BROADCAST_BYTES)
 
     def _write(self, rows: DataFrame, table: str, order: list[str]) -> int:
         seen = Observation()
-        laid_out = rows.observe(seen, F.count("*").alias("n"))
+        laid_out = rows.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size))
+        laid_out = laid_out.observe(seen, F.count("*").alias("n"))
         if self.rebalance:
             laid_out = laid_out.hint("rebalance", BUCKET)
         laid_out.sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).mode("append").parquet(
@@ -282,17 +302,19 @@ def bucket_of(checkpoint: Column | str, bucket_size: int) -> Column:
     return F.floor(F.coalesce(value, F.lit(0)) / bucket_size).cast("bigint")
 
 
-def new_rows(batch: DataFrame, stored: DataFrame, keys: list[str], *, small: bool = False) -> DataFrame:
+def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], *, small: bool = False) -> DataFrame:
     """Rows of the batch, one per key, whose key is not stored.
 
     For a small batch its keys are broadcast: the stored table is then only
     scanned, on its key columns, instead of shuffled for every append.
     """
-    stored_keys = stored.select(*keys)
-    if small:
-        wanted = F.broadcast(batch.select(*keys))
-        stored_keys = stored_keys.join(wanted, keys, "left_semi")
-    fresh = batch.join(stored_keys, keys, "left_anti")
+    fresh = batch
+    if stored is not None:
+        stored_keys = stored.select(*keys)
+        if small:
+            wanted = F.broadcast(batch.select(*keys))
+            stored_keys = stored_keys.join(wanted, keys, "left_semi")
+        fresh = batch.join(stored_keys, keys, "left_anti")
     return fresh.dropDuplicates(keys) if small else unique_rows(fresh, keys)
 
 
