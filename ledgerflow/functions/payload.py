@@ -70,8 +70,8 @@ def field_text(entries: Column | str, field: str) -> Column:
 
 def json_field(payload: Column | str, field: str) -> Column:
     """Top-level field as text, straight from the JSON text; for a single field."""
-    quoted = field.replace("\\", "\\\\").replace('"', '\\"')
-    return variant_text(F.try_variant_get(F.try_parse_json(_col(payload)), f'$["{quoted}"]', "variant"))
+    same = F.filter(F.map_entries(payload_map(payload)), lambda e: e["key"] == field)
+    return variant_text(F.try_element_at(same, F.lit(-1))["value"])
 
 
 def object_field(entries: Column | str, field: str) -> Column:

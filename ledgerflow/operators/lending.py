@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.payload import amount, field_text, payload_map
+from ledgerflow.functions.payload import amount, field_text, payload_map, unique_keys
 from ledgerflow.functions.times import event_time
 from ledgerflow.operators.enrich import action_label, event_class
 
@@ -25,7 +25,7 @@ def lending_actions(events: DataFrame, *, as_of: datetime | int | None = None) -
 
     Filter to the protocol first; the payload is parsed for every event given.
     """
-    parsed = events.withColumn(_PAYLOAD, payload_map("parsed_json"))
+    parsed = events.withColumn(_PAYLOAD, payload_map("parsed_json")).withColumn(_PAYLOAD, unique_keys(F.col(_PAYLOAD)))
     texts = [field_text(_PAYLOAD, name).alias(name) for name in _TEXTS]
     amounts = [amount(field_text(_PAYLOAD, name)).alias(name) for name in _AMOUNTS]
     return parsed.select(
