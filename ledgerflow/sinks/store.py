@@ -306,16 +306,23 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], *, sma
     """Rows of the batch, one per key, whose key is not stored.
 
     For a small batch its keys are broadcast: the stored table is then only
-    scanned, on its key columns, instead of shuffled for every append.
+    scanned, on its key columns, instead of shuffled for every append. For a large
+    one, keys alone are shuffled to find those that are stored or repeat; the rows
+    themselves move only if too many are.
     """
-    fresh = batch
-    if stored is not None:
-        stored_keys = stored.select(*keys)
-        if small:
-            wanted = F.broadcast(batch.select(*keys))
-            stored_keys = stored_keys.join(wanted, keys, "left_semi")
-        fresh = batch.join(stored_keys, keys, "left_anti")
-    return fresh.dropDuplicates(keys) if small else unique_rows(fresh, keys)
+    if small:
+        fresh = batch
+        if stored is not None:
+            found = stored.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
+            fresh = batch.join(found, keys, "left_anti")
+        return fresh.dropDuplicates(keys)
+    rows = unique_rows(batch, keys)
+    if stored is None:
+        return rows
+    # Distinct first: copies in the batch must not meet in one task.
+    found = stored.select(*keys).join(batch.select(*keys).distinct(), keys, "left_semi")
+    side = _measured(found, keys)
+    return rows if side is None else rows.join(side, keys, "left_anti")
 
 
 def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -326,14 +333,21 @@ def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     if most rows are copies of one.
     """
     repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
-    found = Extent.of(repeated.withColumn("checkpoint_sequence", F.lit(0).cast("bigint")), keys)
-    if found.rows == 0:
+    side = _measured(repeated, keys)
+    if side is None:
         return rows
-    side = F.broadcast(repeated) if found.key_bytes <= BROADCAST_BYTES else repeated
     copies = rows.join(side, keys, "left_semi").dropDuplicates(keys)
     return rows.join(side, keys, "left_anti").unionByName(copies)
 
 
+def _measured(found: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys for a join: none at all, marked for broadcast if few, or as they are."""
+    size = Extent.of(found.withColumn("checkpoint_sequence", F.lit(0).cast("bigint")), keys)
+    if size.rows == 0:
+        return None
+    return F.broadcast(found) if size.key_bytes <= BROADCAST_BYTES else found
+
+
 def read_range(
     processed: DataFrame, start: int, end: int, *, bucket_size: int | None = None
 ) -> DataFrame:
