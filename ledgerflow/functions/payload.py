@@ -52,8 +52,17 @@ def joined_objects(first: str, second: str) -> Column:
 
 
 def is_json(payload: Column | str) -> Column:
-    """Whether the text is JSON of any kind."""
-    return F.get_json_object(_col(payload), "$").isNotNull()
+    """Whether the text is one JSON value of any kind, and nothing else.
+
+    The parser stops behind the first value and takes single quotes in some places, so
+    the text is parsed inside a list, of which it must be the only member, and inside an
+    object: text that closes the one early is no text for the other.
+    """
+    text = _col(payload)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(one & F.try_variant_get(held, "$.v", "variant").isNotNull(), F.lit(False))
 
 
 def variant_text(value: Column) -> Column:

@@ -147,7 +147,8 @@ def source_event() -> Column:
             F.col("timestamp_ms").cast("string").alias("timestampMs"),
         )
     )
-    payload = F.coalesce(F.get_json_object("parsed_json", "$"), F.lit("null"))
+    # Through the parsed value: the text itself may be a bare string or end in something else.
+    payload = F.coalesce(F.to_json(F.try_parse_json("parsed_json")), F.lit("null"))
     # The envelope is never empty, so it can simply follow the payload.
     return F.concat(F.lit('{"parsedJson":'), payload, F.lit(","), F.substr(envelope, F.lit(2)))
 

@@ -31,15 +31,33 @@ def filter_events(events: DataFrame, rules: Sequence[Rule] | DataFrame, *, type_
     `type_match` "auto" compares a full type name to the full type and a bare one
     to the bare name; "name" always compares to the bare name.
     """
-    if isinstance(rules, DataFrame) or len(rules) > COMPILED_RULES:
+    _check_type_match(type_match)
+    if joins(rules):
         joined, marks = _join_rules(events, *_rule_table(events, rules), type_match, labels=False)
         hit = reduce(or_, [F.col(mark).isNotNull() for mark in marks], F.lit(False))
-        return joined.where(hit).drop(*marks)
+        return joined.where(hit | no_rules(rules)).drop(*marks)
     if not rules:
         return events
     return events.where(reduce(or_, [rule_predicate(rule, type_match) for rule in rules]))
 
 
+def joins(rules: Sequence[Rule] | DataFrame) -> bool:
+    """Whether rules are joined; results are the same in either form."""
+    return isinstance(rules, DataFrame) or len(rules) > COMPILED_RULES
+
+
+def no_rules(rules: Sequence[Rule] | DataFrame) -> Column:
+    """Whether there are no rules at all, in which case every event is kept."""
+    if isinstance(rules, DataFrame):
+        return rules.agg(F.count("*") == 0).scalar()
+    return F.lit(not rules)
+
+
+def _check_type_match(type_match: str) -> None:
+    if type_match not in ("auto", "name"):
+        raise ValueError(f"unknown type_match: {type_match}")
+
+
 def keep_flag(rules: Sequence[Rule], *, type_match: str = "auto") -> Column:
     """Whether any of a few rules matches, never null."""
     if not rules:
@@ -58,7 +76,8 @@ def match_rules(events: DataFrame, rules: Sequence[Rule] | DataFrame, *, type_ma
 
     Rules given as a frame have no order; their labels come sorted.
     """
-    if isinstance(rules, DataFrame) or len(rules) > COMPILED_RULES:
+    _check_type_match(type_match)
+    if joins(rules):
         joined, marks = _join_rules(events, *_rule_table(events, rules), type_match, labels=True)
         none = F.array().cast("array<struct<number:bigint,name:string>>")
         every = F.concat(none, *[F.coalesce(F.col(mark), none) for mark in marks])
@@ -85,8 +104,7 @@ def _conditions(rule: Rule, type_match: str) -> list[tuple[str, str | None]]:
 
 
 def _type_conditions(event_type: str, type_match: str) -> list[tuple[str, str | None]]:
-    if type_match not in ("auto", "name"):
-        raise ValueError(f"unknown type_match: {type_match}")
+    _check_type_match(type_match)
     if type_match == "name" or "::" not in event_type:
         return [("type_name", event_type)]
     parts = type_parts_text(event_type)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ledgerflow import schemas
 from ledgerflow.functions.payload import is_json
 from ledgerflow.functions.times import as_of_column
-from ledgerflow.operators.filters import COMPILED_RULES, keep_flag, match_rules
+from ledgerflow.operators.filters import joins, keep_flag, match_rules, no_rules
 from ledgerflow.operators.rules import Rule
 
 SUCCESS, FILTERED, SKIPPED, ERROR = "success", "filtered", "skipped", "error"
@@ -24,21 +24,26 @@ SUCCESS, FILTERED, SKIPPED, ERROR = "success", "filtered", "skipped", "error"
 
 def event_outcomes(
     events: DataFrame,
-    rules: Sequence[Rule] = (),
+    rules: Sequence[Rule] | DataFrame = (),
     *,
     on_error: str = "quarantine",
     type_match: str = "auto",
     payload_required: bool = True,
+    label_rules: bool = False,
 ) -> DataFrame:
     """Add `outcome` and `reason` to events.
 
     An event without usable keys or ids is an error whatever the rules say. One
     that no rule wants is filtered, and its payload is not looked at. With
-    `on_error="raise"` the first error fails the job.
+    `on_error="raise"` the first error fails the job. With `label_rules` the labels of
+    the matching rules are added as `matched_filters`, however many rules there are.
     """
-    joined = len(rules) > COMPILED_RULES
-    frame = match_rules(events, rules, type_match=type_match) if joined else events
-    wanted = F.size("matched_filters") > 0 if joined else keep_flag(rules, type_match=type_match)
+    joined = joins(rules)
+    frame = match_rules(events, rules, type_match=type_match) if joined or label_rules else events
+    if joined:
+        wanted = (F.size("matched_filters") > 0) | no_rules(rules)
+    else:
+        wanted = keep_flag(rules, type_match=type_match)
     envelope = _first_reason(_envelope_problems(events))
     payload = F.when(F.lit(payload_required) & ~_payload_ok(), F.lit("payload is not JSON"))
     outcome = (
@@ -48,8 +53,8 @@ def event_outcomes(
         .otherwise(F.lit(SUCCESS))
     )
     reason = F.when(envelope.isNotNull(), envelope).when(~wanted, F.lit("no rule matched")).otherwise(payload)
-    result = frame.withColumns({"outcome": outcome, "reason": reason})
-    return _strict(result, on_error)
+    result = _strict(frame.withColumns({"outcome": outcome, "reason": reason}), on_error)
+    return result if label_rules else result.drop(*({"matched_filters"} - set(events.columns)))
 
 
 def transaction_outcomes(transactions: DataFrame, *, on_error: str = "quarantine") -> DataFrame:

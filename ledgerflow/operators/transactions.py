@@ -100,11 +100,13 @@ def transactions_with_events(
 ) -> DataFrame:
     """Transactions with their processed events as a list in order of event number.
 
-    A transaction is one row (`part` 0) as long as its event numbers stay below
-    `per_part`; further events follow in rows of their own. No row, and no group
-    behind it, therefore holds more than `per_part` events, however many one
-    transaction has. Events must be unique by key for that: copies are removed
-    first, map-side, unless `unique` says that there are none.
+    Rows are keyed by (digest, `part`). Part 0 always exists, has the transaction's
+    columns and its events with numbers below `per_part`; further events follow in
+    rows of their own, where every other column of the transaction is null, so that
+    sums over all rows stay right. No row, and no group behind it, therefore holds
+    more than `per_part` events, however many one transaction has. Events must be
+    unique by key for that: copies are removed first, map-side, unless `unique`
+    says that there are none.
     """
     if per_part < 1:
         raise ValueError("per_part must be at least 1")
@@ -118,12 +120,11 @@ def transactions_with_events(
         .withColumnRenamed("transaction_digest", "digest")
     )
     empty = F.array().cast(lists.schema["processed_events"].dataType)
-    return transactions.join(lists, "digest", "left").withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0).cast("bigint")),
-            "processed_events": F.coalesce("processed_events", empty),
-        }
+    first = transactions.join(lists.where("part = 0").drop("part"), "digest", "left").withColumns(
+        {"part": F.lit(0).cast("bigint"), "processed_events": F.coalesce("processed_events", empty)}
     )
+    known = transactions.select("digest").distinct()
+    return first.unionByName(lists.where("part <> 0").join(known, "digest", "left_semi"), allowMissingColumns=True)
 
 
 def _item_columns(events: DataFrame) -> list[str]:

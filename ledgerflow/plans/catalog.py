@@ -603,8 +603,10 @@ def _tx_with_events_sql(per_part: int) -> str:
   select transaction_digest, event_seq // {per_part} as part, count(*) as n,
     string_agg(concat(event_seq, ':', type_name), ',' order by event_seq) as events
   from chain_events group by 1, 2)
-select digest, checkpoint_sequence, coalesce(part, 0) as part, coalesce(n, 0) as n_events, coalesce(events, '') as events
-from chain_transactions left join lists on transaction_digest = digest
+select digest, checkpoint_sequence, 0 as part, coalesce(n, 0) as n_events, coalesce(events, '') as events
+from chain_transactions left join (select * from lists where part = 0) l on transaction_digest = digest
+union all
+select digest, null, part, n, events from chain_transactions join lists on transaction_digest = digest where part > 0
 """
 
 
@@ -790,7 +792,7 @@ def _done(spark: SparkSession, folder: str) -> int:
     return chain_events(spark, folder).agg(F.max("checkpoint_sequence")).first()[0]
 
 
-@query(f"{_SHOWN_SQL} where checkpoint_sequence >= (select done // 3 from ends)")
+@query(f"{_SHOWN_SQL} where checkpoint_sequence >= (select done // 3 from ends) or checkpoint_sequence = 0")
 def backfill_from(spark: SparkSession, folder: str) -> DataFrame:
     start = ranges.start_checkpoint(0, _done(spark, folder) // 3)
     return readers.from_checkpoint(chain_events(spark, folder), start).select(*_SHOWN)

@@ -24,7 +24,7 @@ from ledgerflow.fixed_values import POLL_INTERVAL
 from ledgerflow.functions.times import run_time
 from ledgerflow.operators import outcomes as oc
 from ledgerflow.operators.enrich import enrich_events
-from ledgerflow.operators.filters import filter_events, match_rules
+from ledgerflow.operators.filters import filter_events
 from ledgerflow.operators.ranges import start_checkpoint
 from ledgerflow.operators.rules import Rule
 from ledgerflow.operators.transactions import project_transactions
@@ -61,7 +61,7 @@ class Pipeline:
     full. It gets the run's time by keyword if it takes `as_of`.
     """
 
-    rules: Sequence[Rule] = ()
+    rules: Sequence[Rule] | DataFrame = ()
     processor: Callable[..., DataFrame] = enrich_events
     on_error: str = "quarantine"
     type_match: str = "auto"
@@ -80,17 +80,26 @@ class Pipeline:
         transactions: DataFrame | None = None,
         start: int | None = None,
         reset: bool = False,
+        late: str = "append",
         as_of: datetime | int | None = None,
     ) -> Report:
-        """Process everything behind the saved progress, or from `start` if that is later.
-
-        `reset` goes back to `start`. What is stored already is skipped, so a run
-        that failed half-way is simply repeated.
+        """Process everything that isn't stored yet, from checkpoint `start` on.
+
+        Late records, those of checkpoints that were done before, go to the keyed
+        append like all others ("append"); a source that never delivers late may
+        resume behind the saved progress instead ("skip"), events behind that of
+        events and transactions behind the last stored transaction. Records without
+        a known checkpoint are never left out. `reset` sets the progress back. What
+        is stored already is skipped, so a run that failed half-way is simply repeated.
         """
-        latest = store.latest_checkpoint()
-        begin = start_checkpoint(start, 0 if latest is None else latest + 1, reset=reset)
+        if late not in ("append", "skip"):
+            raise ValueError(f"unknown late: {late}")
+        begin = begin_transactions = start
+        if late == "skip":
+            begin = start_checkpoint(start, _following(store.latest_checkpoint()), reset=reset)
+            begin_transactions = start_checkpoint(start, _following(store.last_transaction_checkpoint()), reset=reset)
         if transactions is not None:
-            transactions = from_checkpoint(transactions, begin)
+            transactions = from_checkpoint(transactions, begin_transactions)
         return self._run(
             from_checkpoint(events, begin),
             store,
@@ -139,10 +148,11 @@ class Pipeline:
 
     def outcomes(self, events: DataFrame) -> DataFrame:
         """Events with their outcome, and the labels of the matching rules if wanted."""
-        result = oc.event_outcomes(events, self.rules, on_error=self.on_error, type_match=self.type_match)
-        if self.label_rules and self.rules and "matched_filters" not in result.columns:
-            result = match_rules(result, self.rules, type_match=self.type_match)
-        return result
+        # A frame of rules may be empty; only an empty list is known to label nothing.
+        labels = self.label_rules and (isinstance(self.rules, DataFrame) or bool(self.rules))
+        return oc.event_outcomes(
+            events, self.rules, on_error=self.on_error, type_match=self.type_match, label_rules=labels
+        )
 
     def _run(
         self,
@@ -198,7 +208,8 @@ class Pipeline:
         store.log_batch(
             run_id=run_id,
             batch_id=batch_id,
-            events=counts["succeeded"],
+            # Both as stored, so that a repeated run adds nothing to the totals.
+            events=n_events,
             transactions=n_transactions,
             errors=counts["errors"],
             event_ms=event_ms,
@@ -208,8 +219,8 @@ class Pipeline:
             finished_at=datetime.now(timezone.utc),
         )
         # Progress comes last: it says that all of the above is stored.
-        if counts["last"] is not None:
-            store.save_progress(counts["last"], as_of=as_of, batch_id=batch_id, reset=reset)
+        if counts["received"]:
+            store.save_progress(max(counts["last"], 0 if reset else store.last_processed_checkpoint()), as_of=as_of, batch_id=batch_id, reset=reset)
         return Report(
             counts["received"],
             counts["after_filter"],
@@ -256,12 +267,17 @@ def _counts(decided: DataFrame) -> dict:
         F.count_if(F.col("outcome") != oc.FILTERED).alias("after_filter"),
         F.count_if(good).alias("succeeded"),
         F.count_if(F.col("outcome") == oc.ERROR).alias("errors"),
-        F.min("checkpoint_sequence").alias("first"),
-        F.max("checkpoint_sequence").alias("last"),
+        # As the store does it: an unknown checkpoint is 0 and lies in the first bucket.
+        F.min(F.coalesce("checkpoint_sequence", F.lit(0))).alias("first"),
+        F.max(F.coalesce("checkpoint_sequence", F.lit(0))).alias("last"),
         F.sum(F.when(good, key_bytes)).alias("key_bytes"),
     ).first()
     return row.asDict()
 
 
+def _following(checkpoint: int | None) -> int:
+    return 0 if checkpoint is None else checkpoint + 1
+
+
 def _ms_since(clock: float) -> int:
     return int((time.monotonic() - clock) * 1000)

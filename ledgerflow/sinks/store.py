@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,6 +208,10 @@ class Store:
     def latest_checkpoint(self) -> int | None:
         return latest_progress(self.progress()).first()["latest_checkpoint"]
 
+    def last_transaction_checkpoint(self) -> int | None:
+        """The newest checkpoint with a stored transaction: their progress, apart from that of events."""
+        return self.processed_transactions().agg(F.max("checkpoint_sequence")).first()[0]
+
     def last_processed_checkpoint(self) -> int:
         return self.latest_checkpoint() or 0
 
@@ -286,8 +291,14 @@ class Store:
         self.spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(self._path(table))
 
     def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        # Listing names the path's absence without any private handle of the session.
+        try:
+            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._path(table))
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+        return listed is not None
 
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
@@ -305,6 +316,7 @@ def bucket_of(checkpoint: Column | str, bucket_size: int) -> Column:
 def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], *, small: bool = False) -> DataFrame:
     """Rows of the batch, one per key, whose key is not stored.
 
+    A null key part is a value like any other: rows that agree in it are copies.
     For a small batch its keys are broadcast: the stored table is then only
     scanned, on its key columns, instead of shuffled for every append. For a large
     one, keys alone are shuffled to find those that are stored or repeat; the rows
@@ -313,16 +325,16 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], *, sma
     if small:
         fresh = batch
         if stored is not None:
-            found = stored.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
-            fresh = batch.join(found, keys, "left_anti")
+            found = _join(stored.select(*keys), F.broadcast(batch.select(*keys)), keys, "left_semi")
+            fresh = _join(batch, found, keys, "left_anti")
         return fresh.dropDuplicates(keys)
     rows = unique_rows(batch, keys)
     if stored is None:
         return rows
     # Distinct first: copies in the batch must not meet in one task.
-    found = stored.select(*keys).join(batch.select(*keys).distinct(), keys, "left_semi")
+    found = _join(stored.select(*keys), batch.select(*keys).distinct(), keys, "left_semi")
     side = _measured(found, keys)
-    return rows if side is None else rows.join(side, keys, "left_anti")
+    return rows if side is None else _join(rows, side, keys, "left_anti")
 
 
 def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -336,8 +348,14 @@ def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     side = _measured(repeated, keys)
     if side is None:
         return rows
-    copies = rows.join(side, keys, "left_semi").dropDuplicates(keys)
-    return rows.join(side, keys, "left_anti").unionByName(copies)
+    copies = _join(rows, side, keys, "left_semi").dropDuplicates(keys)
+    return _join(rows, side, keys, "left_anti").unionByName(copies)
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join in which null equals null, as it does in a grouping."""
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
 
 
 def _measured(found: DataFrame, keys: list[str]) -> DataFrame | None:

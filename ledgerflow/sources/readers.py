@@ -57,8 +57,11 @@ def stream_events(
 
 
 def from_checkpoint(df: DataFrame, start: int | None) -> DataFrame:
-    """Rows of checkpoint `start` and later; all rows when there is no start."""
-    return df if start is None else df.where(F.col("checkpoint_sequence") >= F.lit(start))
+    """Rows of checkpoint `start` and later, and those whose checkpoint is unknown (null or 0)."""
+    if start is None:
+        return df
+    checkpoint = F.col("checkpoint_sequence")
+    return df.where((checkpoint >= F.lit(start)) | checkpoint.isNull() | (checkpoint == 0))
 
 
 def checkpoint_at(checkpoints: DataFrame, sequence: int) -> DataFrame:

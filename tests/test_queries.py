@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from ledgerflow.plans import catalog
+from ledgerflow.plans import catalog, catalog_jobs  # noqa: F401
 
 TABLES = ("customer", "events", "lineitem", "orders")
 

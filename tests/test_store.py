@@ -125,7 +125,7 @@ def test_batch_run_quarantines_and_resumes(spark, make_events, tmp_path):
     assert (report.received, report.after_filter, report.succeeded, report.errors, report.stored_events) == (3, 2, 1, 1, 1)
     assert store.quarantined().first()["reason"] == "payload is not JSON"
     assert store.processed_events().first()["metadata"]["matched_filters"] == ["package=0x2"]
-    report = pipeline.run_batch(events, store, as_of=AS_OF)
+    report = pipeline.run_batch(events, store, as_of=AS_OF, late="skip")
     assert (report.received, report.stored_events, store.latest_checkpoint()) == (1, 1, 20)
     report = pipeline.run_batch(events, store, start=0, reset=True, as_of=AS_OF)
     assert (report.received, report.stored_events) == (4, 0)
