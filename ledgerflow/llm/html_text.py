@@ -42,7 +42,7 @@ _APART_NAMES = set(
 )
 _MAIN_NAMES = {"article", "content", "entry", "main", "post", "story", "articlebody", "text", "body"}
 
-FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "in_main", "apart", "apart_named", "heading")
+FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "in_main", "heading", "apart", "apart_named", "beside_main")
 
 
 @dataclass
@@ -147,7 +147,9 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     """One row per block in the order of FEATURES; beyond either end there are no words."""
     words = np.array([0.0, *(len(b.joined().split()) for b in blocks), 0.0])
     share = np.array([0.0, *(b.linked for b in blocks), 0.0]) / np.maximum(words, 1)
-    marks = np.array([(b.in_main, b.apart, b.apart_named, b.heading) for b in blocks], float).reshape(len(blocks), 4)
+    has_main = any(b.in_main for b in blocks)
+    marks = [(b.in_main, b.heading, b.apart, b.apart_named, has_main and not b.in_main) for b in blocks]
+    marks = np.array(marks, float).reshape(len(blocks), 5)
     sides = [words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:]]
     return np.column_stack([*sides, marks])
 
@@ -171,7 +173,7 @@ class Tree:
         return out
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     """A tree of binary splits, each the one that lowers Gini impurity most; ties to the later feature."""
     main = bool(y.mean() >= 0.5) if len(y) else False
     if depth == 0 or len(y) < 2 or y.all() or not y.any():
@@ -204,6 +206,14 @@ LABELLED = (
     f"<ul><li><a href=/1>One</a></li><li><a href=/2>Two and more</a></li></ul><p>+{_MORE}</p><p>+{_LONG}</p><p>Imprint</p>",
     f"<article><header><h1>+Rain</h1></header><p>+{_MORE}</p><p>+<a href=/w>+Weather</a></p><div class='related'><p>Snow</p><p>{_LONG}</p></div>"
     f"<section class='comments'><p>{_MORE}</p><p>Nice</p></section><p>+{_LONG}</p><p class='share'>Share this with a friend</p></article>",
+    f"<nav><a href=/>Home</a></nav><article><h1>+Wind</h1><p>+{_LONG}</p><p>+{_MORE}</p></article>",
+    f"<div class='main'><p>+{_MORE}</p><p>+So be it.</p></div>",
+    f"<article><p>+{_MORE}</p><p>+Yes.</p><p>+No</p></article>",
+    f"<div><p>{_LONG}</p><p>{_MORE}</p></div><article><p>+{_MORE}</p><p>+Yes.</p></article><div><p>{_LONG}</p><p>So I think</p></div>",
+    f"<main><h2>+Two</h2><p>+{_LONG}</p><p>+End</p></main>",
+    f"<p>+{_LONG}</p><p>Imprint</p>",
+    f"<p>+{_MORE}</p><p>+{_LONG}</p><p>+It will not be the last bridge here, the mayor said on Friday.</p>",
+    f"<article><p>+{_LONG}</p><p>+Yes.</p></article><div class='footer'><p>Write to us at any time of day or night</p></div>",
     f"<header><p>{_LONG}</p></header><article><p>+One</p><p>+{_MORE}</p><div class='newsletter'>Get it by mail</div></article><footer><p>{_LONG}</p></footer>",
 )
 
