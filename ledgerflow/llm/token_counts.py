@@ -24,6 +24,8 @@ REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 
 _SPACE_MARK = "▁"
+#: A space with nothing behind it: the model gives nothing for an empty text, but one piece here.
+_LONE_SPACE = {"": 1}
 _PRE_TOKEN = re.compile(" +[^ ]*")
 
 
@@ -37,7 +39,7 @@ class PieceCounts:
         pieces = (self._model.id_to_piece(i) for i in range(self._model.get_piece_size()))
         if any(_SPACE_MARK in piece.lstrip(_SPACE_MARK) for piece in pieces):
             raise ValueError("the model has pieces with a space inside: words can't be counted apart")
-        self._known: dict[str, int] = {}
+        self._known = dict(_LONE_SPACE)
 
     def totals(self, texts: list[list[str]]) -> list[int]:
         """The pieces of each text, given as its pre-tokens."""
@@ -46,7 +48,8 @@ class PieceCounts:
         new = [*(set().union(*frequencies) - known.keys())]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = [*set().union(*frequencies)]
+            known.update(_LONE_SPACE)
+            new = [*(set().union(*frequencies) - known.keys())]
         known.update(zip(new, map(len, self._model.encode(new, num_threads=1)), strict=True))
         sums = [sum([n * known[token] for token, n in own.items()]) for own in frequencies]
         for token in new:
