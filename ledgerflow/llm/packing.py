@@ -4,7 +4,8 @@ A class k holds pieces that fit k times into a sequence, and each of its bins ta
 exactly k of them. Documents are cut where that leaves little padding: a rest that
 nearly fills its class stays whole, any other rest gives one full piece of the next
 smaller class and goes on. Bins are filled apart within (class, worker bucket), so
-buckets share nothing; the number of buckets of a class follows its piece count.
+buckets share nothing; the number of buckets of a class follows its piece count. The
+bins that a bucket leaves open, one for each class at most, are put into each other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import zlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,16 +176,48 @@ def pack(
     dealt = pieces.join(F.broadcast(table), "class").withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets"))
     )
+    # Spark gives no order among equal rows: none of the columns below tells them apart either.
     within = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")
     binned = dealt.withColumn("place", F.row_number().over(within)).withColumn("bin", F.expr("(place - 1) div class"))
-    before = Window.partitionBy("class", "bucket", "bin").orderBy("doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return binned.select(
+    own = ["class", "bucket", "bin"]
+    every = Window.partitionBy(*own)
+    before = every.orderBy("doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = binned.withColumns(
+        {
+            "offset": F.coalesce(F.sum("length").over(before), F.lit(0)),
+            "filled": F.sum("length").over(every),
+            "open": F.count("*").over(every) < F.col("class"),
+        }
+    )
+    # A class and bucket leave one bin open at most, so a bucket has fewer of them than there are classes.
+    rests = placed.where("open").select(*own, "filled").distinct()
+    moves = rests.groupBy("bucket").applyInPandas(
+        lambda bins: _joined_bins(bins, capacity), "class long, bucket long, bin long, host_class long, host_bin long, shift long"
+    )
+    moved = placed.join(moves, own, "left")
+    host_class, host_bin = F.coalesce("host_class", "class"), F.coalesce("host_bin", "bin")
+    return moved.select(
         "doc_id",
         "start",
         "length",
         "ids_crc32",
         "doc_tokens",
         # A class takes 2^48 numbers, a bucket 2^22 of them.
-        (F.col("class") * F.lit(1 << 48) + F.col("bucket") * F.lit(1 << 22) + F.col("bin")).alias("sequence_id"),
-        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"),
+        (host_class * F.lit(1 << 48) + F.col("bucket") * F.lit(1 << 22) + host_bin).alias("sequence_id"),
+        (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset"),
     )
+
+
+def _joined_bins(bins: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Open bins put into each other, largest first, each into the first one with room."""
+    hosts: list[list] = []  # class, bin, filled
+    rows = []
+    for own in bins.sort_values(["filled", "class"], ascending=[False, True]).itertuples(index=False):
+        k, bucket, number, filled = own
+        host = next((h for h in hosts if h[2] + filled <= capacity), None)
+        if host is None:
+            host = [k, number, 0]
+            hosts.append(host)
+        rows.append((k, bucket, number, host[0], host[1], host[2]))
+        host[2] += filled
+    return pd.DataFrame(rows, columns=["class", "bucket", "bin", "host_class", "host_bin", "shift"])
