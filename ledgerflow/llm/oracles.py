@@ -5,14 +5,14 @@ from __future__ import annotations
 from ledgerflow.llm.licenses import PHRASES, TEMPLATES
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SPACED = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-_PLAIN = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_SPACED = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_PLAIN = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP1 = f"""
 with recursive worded as (select doc_id, {_SPACED.format("text")} as w from documents),
 shingled as (
   select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
   from worded),
 each as (select doc_id, unnest(s) as g, len(s) as n from shingled),
 links as (
@@ -58,10 +58,10 @@ templates as (
   select n, label, list_distinct({_PLAIN.format("body")}) as t from (values {_values(TEMPLATES)}) v(n, body, label)),
 worded as (select doc_id, {_PLAIN.format("text")} as w from documents),
 placed as (
-  select doc_id, label, i - 1 as at from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from worded) d, phrases
+  select doc_id, label, i - 1 as place from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from worded) d, phrases
   where w[i:i + len(p) - 1] = p),
 base as (
-  select doc_id, count(*) as n_base, min(at) as first_word, max(at) as last_word,
+  select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word,
     array_to_string(list_sort(list(distinct label)), ',') as base_labels from placed group by doc_id),
 blocks as (
   select doc_id, b, {_PLAIN.format("line")} as w
