@@ -62,7 +62,7 @@ def is_json(payload: Column | str) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.coalesce(one & F.try_variant_get(held, "$.v", "variant").isNotNull(), F.lit(False))
+    return F.when(one, F.try_variant_get(held, "$.v", "variant").isNotNull()).otherwise(F.lit(False))
 
 
 def variant_text(value: Column) -> Column:

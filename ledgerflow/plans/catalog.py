@@ -36,7 +36,7 @@ from ledgerflow.sources.tables import (
     oracle_tables,
     raw_events,
 )
-from ledgerflow.streaming.streams import dedupe_stream, running_type_counts
+from ledgerflow.streaming.streams import dedupe_stream, keep_counts, latest_counts, running_type_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1087,14 +1087,16 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
 select cast(epoch_ms(cast(day as timestamp)) as bigint) as window_start, type_name as event_type, count(*) as event_count
-from ok where day < (select max(day) from ok) group by 1, 2
+from ok group by 1, 2
 """
 )
 def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily counts as a stream emits them: the last day stays open."""
+    """Daily counts as a stream keeps them, the day that is still open too."""
     counts = running_type_counts(_event_stream(spark, folder), as_of=AS_OF)
-    drained = _drain(counts, spark, "counts")
-    return drained.select(_millis("window_start").alias("window_start"), "event_type", "event_count")
+    kept = scratch_folder(spark, "counts")
+    keep_counts(counts, f"{kept}/data", f"{kept}/state").awaitTermination()
+    newest = latest_counts(spark.read.parquet(f"{kept}/data"))
+    return newest.select(_millis("window_start").alias("window_start"), "event_type", "event_count")
 
 
 @query(

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerflow.functions.times import event_time
 from ledgerflow.schemas import EVENT_KEY
@@ -48,3 +49,25 @@ def running_type_counts(
     return counts.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "event_count"
     )
+
+
+def keep_counts(counts: DataFrame, folder: str, state: str, *, interval: str | None = None) -> StreamingQuery:
+    """Keep a stream's counts below `folder`, open windows included.
+
+    Every micro-batch writes the counts that it changed, under its own number, so that a
+    batch which is repeated after a failure replaces what it had written. Read them with
+    `latest_counts`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", state).trigger(**trigger)
+    return writer.foreachBatch(write).start()
+
+
+def latest_counts(kept: DataFrame) -> DataFrame:
+    """One row per window and type from what `keep_counts` wrote: its newest count."""
+    newest = F.max_by("event_count", "batch").alias("event_count")
+    return kept.groupBy("window_start", "window_end", "event_type").agg(newest)
