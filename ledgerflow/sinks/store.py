@@ -344,7 +344,7 @@ def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     where they are; copies are merged before their shuffle, so it does not matter
     if most rows are copies of one.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1).select(*keys)
     side = _measured(repeated, keys)
     if side is None:
         return rows
