@@ -3,15 +3,16 @@
 Units (documents or paragraphs) with equal sets form one class, named by a 64-bit key
 of the set; classes are what is linked. Signatures put classes into buckets. Within a
 bucket every class is first paired with one hub; verified pairs give components, and a
-bucket whose classes all lie in one component needs nothing more. Unresolved buckets get
-other hubs, and what is left then is split by the rarest features of each set, of which
-similar sets must share one, before the pairs across components are verified. No link
-between different components is lost; links inside one are not all listed.
+bucket whose classes all lie in one component needs nothing more. The others are paired
+with the bucket's most linked class. What is left after that is compared by the rarest
+features of the sets, of which similar sets must share one, before the pairs across
+components are verified. No link between different components is lost; links inside one
+are not all listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,14 @@ from ledgerflow.llm.common import keep, map_slices, sliced, texts_as_bytes
 
 #: Words whose hash a worker remembers, and class keys it knows to have signed.
 REMEMBERED = 500_000
-#: Rounds of hub pairs before the pairs of rare features.
-HUB_ROUNDS = 3
 #: Ids (8 bytes each) of wanted documents up to which they are sent to every executor.
 BROADCAST_IDS = 1_000_000
 
 #: A unit: first and last (exclusive) word or byte, and its features in rising order.
 Unit = tuple[int, int, np.ndarray]
 Cutter = Callable[[bytes], list[Unit]]
+#: The signatures of each of several sets.
+Signer = Callable[[list[np.ndarray]], Sequence[np.ndarray]]
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -69,6 +70,14 @@ def set_key(features: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(features.tobytes()) - (1 << 63)
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """How many features fall into each of 256 parts of their domain (255 stands for more).
+
+    The summed differences of two sketches never exceed the number of features that differ.
+    """
+    return np.minimum(np.bincount((features >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text")
 
@@ -93,24 +102,23 @@ def unit_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
     return map_slices(_rows(docs), work, "doc_id long, start long, end long, n long, key long")
 
 
-def signature_rows(docs: DataFrame, cutter: Callable[[], Cutter], sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def signature_rows(docs: DataFrame, cutter: Callable[[], Cutter], sign: Signer) -> DataFrame:
     """sig and key of each class; a class that a task meets again isn't signed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, signed = cutter(), set()
         for part in sliced(batches, 500):
-            sigs, keys = [], []
+            sets: dict[int, np.ndarray] = {}
             for text in texts_as_bytes(part.column("text")):
                 for _, _, features in cut(text):
-                    if not len(features) or (key := set_key(features)) in signed:
-                        continue
-                    if len(signed) < REMEMBERED:
-                        signed.add(key)
-                    found = sign(features)
-                    sigs.append(found)
-                    keys.append(np.full(len(found), key, np.int64))
-            if sigs:
-                arrays = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))]
+                    if len(features) and (key := set_key(features)) not in signed:
+                        sets[key] = features
+                        if len(signed) < REMEMBERED:
+                            signed.add(key)
+            if sets:
+                sigs = sign(list(sets.values()))
+                keys = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(own) for own in sigs])
+                arrays = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["sig", "key"])
 
     return _rows(docs).where("doc_id is not null").mapInArrow(run, "sig long, key long")
@@ -142,7 +150,7 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, cutter: Callable[[], Cutter], wanted: DataFrame) -> DataFrame:
-    """key and features of each class in `wanted` (key and the doc_id of one member)."""
+    """key, features and sketch of each class in `wanted` (key and the doc_id of one member)."""
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -164,11 +172,12 @@ def fetch_sets(docs: DataFrame, cutter: Callable[[], Cutter], wanted: DataFrame)
             return {
                 "key": pa.array([*found], pa.int64()),
                 "features": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                "sketch": pa.array(map(sketch, found.values()), pa.binary()),
             }
 
         return batch
 
-    sets = map_slices(rows, work, "key long, features array<long>", 500)
+    sets = map_slices(rows, work, "key long, features array<long>, sketch binary", 500)
     return sets.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -195,90 +204,124 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def connect(
-    docs: DataFrame, units: DataFrame, cutter: Callable[[], Cutter], sign: Callable[[np.ndarray], np.ndarray], percent: int
+    docs: DataFrame, units: DataFrame, cutter: Callable[[], Cutter], sign: Signer, percent: int
 ) -> DataFrame:
     """key and label of each class that is linked to another one.
 
     Classes are linked when 100 * intersection >= percent * union of their sets.
     """
     buckets = keep(stars(signature_rows(docs, cutter, sign)), "stars")
-    members = buckets.select("sig", "key").union(buckets.select("sig", F.col("hub").alias("key")).distinct())
-    classes = members.select("key").distinct()
+    # A bucket's hub is done with once it has been paired with all of the bucket.
+    members = buckets.select("sig", "key")
+    classes = members.select("key").union(buckets.select("hub")).distinct()
     wanted = units.where("key is not null and doc_id is not null").join(classes, "key", "left_semi")
     wanted = keep(wanted.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
     sets = keep(fetch_sets(docs, cutter, wanted), "sets")
 
-    tested = links = None
-    pairs = buckets.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
-    labels = None
-    for round_ in range(HUB_ROUNDS + 1):
-        pairs = keep(_verified(pairs, sets, percent), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = pairs.where("linked")
-        links = new if links is None else links.unionByName(new)
-        if labels is None or not new.isEmpty():
-            labels = components(links)
-        if round_ == HUB_ROUNDS:
-            return labels.withColumnsRenamed({"node": "key"})
+    star = buckets.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
+    tested = keep(star, "pairs")
+    links = keep(_verified(tested, sets, percent), "verified")
+    labels = components(links)
+    for find in (_hub_pairs, _rare_pairs):
         open_ = keep(_unresolved(members, labels), "open")
         if open_.isEmpty():
-            return labels.withColumnsRenamed({"node": "key"})
-        if round_ < HUB_ROUNDS - 1:
-            pairs = _hub_pairs(open_, links)
-        else:
-            pairs = _rare_pairs(open_, sets, percent)
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        members = open_.select("sig", "key")
-    raise AssertionError("unreachable")
+            break
+        left = find(open_, links, sets, percent).join(tested, ["a", "b"], "left_anti")
+        left = keep(left, "pairs")
+        new = keep(_verified(left, sets, percent), "verified")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        tested = tested.unionByName(left)
+    return labels.withColumnsRenamed({"node": "key"})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked. Whole sets move only for pairs whose sketches allow it."""
+    brief = sets.select("key", F.size("features").alias("n"), "sketch")
+    close = pairs
+    for end in ("a", "b"):
+        close = close.join(brief.withColumnsRenamed({"key": end, "n": f"n_{end}", "sketch": f"sketch_{end}"}), end)
+    close = close.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def work():
+        def batch(part: pa.RecordBatch) -> dict:
+            counts = [
+                np.frombuffer(b"".join(part.column(f"sketch_{end}").to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+                for end in ("a", "b")
+            ]
+            differ = np.abs(counts[0] - counts[1]).sum(axis=1)
+            size = part.column("n_a").to_numpy().astype(np.int64) + part.column("n_b").to_numpy()
+            near = pa.array((100 + percent) * differ <= (100 - percent) * size)
+            return {end: part.column(end).filter(near) for end in ("a", "b")}
+
+        return batch
+
+    likely = map_slices(close.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), work, "a long, b long", 4000)
     one = sets.select(F.col("key").alias("a"), F.col("features").alias("of_a"))
     two = sets.select(F.col("key").alias("b"), F.col("features").alias("of_b"))
-    small, large = "least(size(of_a), size(of_b))", "greatest(size(of_a), size(of_b))"
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .withColumn("common", F.expr(f"case when 100 * {small} >= {percent} * {large} then size(array_intersect(of_a, of_b)) else 0 end"))
-        .select("a", "b", F.expr(f"100 * common >= {percent} * (size(of_a) + size(of_b) - common)").alias("linked"))
-    )
+    common = likely.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    return common.where(f"100 * common >= {percent} * (size(of_a) + size(of_b) - common)").select("a", "b")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, key and label of the members of buckets that several components share."""
+    """sig, key and label of the classes in buckets that several components share."""
     named = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    return named.join(mixed, "sig", "left_semi").distinct()
+    return named.join(mixed, "sig", "left_semi")
 
 
-def _hub_pairs(open_: DataFrame, links: DataFrame) -> DataFrame:
-    """The bucket's most linked class with the classes of its other components."""
+def _hub_pairs(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The most linked class of each bucket with the classes of the bucket's other components."""
     ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key")))
     ranked = open_.join(ends.groupBy("key").agg(F.count("*").alias("degree")), "key", "left")
     best = ranked.groupBy("sig").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "key", "label")).alias("hub"))
-    return _across(open_.join(best.select("sig", F.col("hub.key").alias("hub"), F.col("hub.label").alias("hub_label")), "sig"))
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    return rows.where("label <> hub_label").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
+    paired = open_.join(best, "sig").where("label <> hub.label")
+    return paired.select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b")).distinct()
 
 
-def _rare_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share a bucket and one of each other's rarest features.
+def _rare_pairs(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that may be similar enough, found by their rarest features.
 
-    In any one order of all features two sets that are similar enough share one of their
-    first n - ceil(n * percent / 100) + 1; rarest first keeps the groups small.
+    In any one order of all features, two such sets share one of the first n - c + 1 of each,
+    where c is what they must have in common at least: percent of the larger set's n, and more
+    of the smaller one's. At the first one that they share, enough features must be left in
+    both. Only features that several components hold can be shared by such a pair, so a set
+    that has too few of them has no partner at all; rarest first, a set's own features come
+    before those of its group, and large groups of copies that differ too much fall out here.
     """
-    some = sets.join(open_.select("key").distinct(), "key", "left_semi")
-    each = some.select("key", F.size("features").alias("n"), F.explode("features").alias("feature"))
-    counted = each.join(each.groupBy("feature").agg(F.count("*").alias("holders")), "feature")
-    order = Window.partitionBy("key").orderBy("holders", "feature")
-    prefix = counted.withColumn("place", F.row_number().over(order)).where(
-        f"place <= n - (n * {percent} + 99) div 100 + 1 and holders > 1"
+    # The sets that have no partner go first: they are most of what is open as a rule.
+    each = _features(open_.select("key", "label").distinct(), sets)
+    most = each.join(_held(each).where("shared").select("feature"), "feature").groupBy("key", "label").agg(F.count("*").alias("most"))
+    sized = most.join(sets.select("key", F.size("features").alias("n")), "key").where(f"100 * most >= {percent} * n")
+    hopeful = keep(sized.select("key", "label", "n"), "hopeful")
+    each = _features(hopeful.select("key", "label"), sets)
+    own = Window.partitionBy("key")
+    counted = each.join(_held(each), "feature").withColumns(
+        {"place": F.row_number().over(own.orderBy("holders", "feature")), "most": F.count_if("shared").over(own)}
     )
-    placed = open_.join(prefix.select("key", "feature"), "key")
-    other = placed.select("sig", "feature", F.col("key").alias("hub"), F.col("label").alias("hub_label"))
-    return _across(placed.join(other, ["sig", "feature"]).where("key < hub"))
+    counted = counted.where("shared").join(hopeful.select("key", "n"), "key").where(f"100 * most >= {percent} * n")
+    counted = keep(counted, "features")
+    columns = ("key", "label", "n", "most", "place")
+    both = 100 + percent
+    one = counted.where(f"place <= n - (2 * n * {percent} + {both - 1}) div {both} + 1").select("feature", *columns)
+    two = counted.where(f"place <= n - (n * {percent} + 99) div 100 + 1").select("feature", *(F.col(c).alias(f"other_{c}") for c in columns))
+    fitting = (
+        "label <> other_label and (n < other_n or n = other_n and key < other_key) and "
+        f"{both} * least(most, other_most, 1 + n - place, 1 + other_n - other_place) >= {percent} * (n + other_n)"
+    )
+    pairs = one.join(two, (one.feature == two.feature) & F.expr(fitting))
+    return pairs.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
+
+
+def _features(labels: DataFrame, sets: DataFrame) -> DataFrame:
+    return sets.join(labels, "key").select("key", "label", F.explode("features").alias("feature"))
+
+
+def _held(each: DataFrame) -> DataFrame:
+    """How many sets hold each feature, and whether they are of several components."""
+    found = each.groupBy("feature").agg(F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return found.select("feature", "holders", (F.col("low") != F.col("high")).alias("shared"))
 
 
 def with_components(units: DataFrame, labels: DataFrame) -> DataFrame:
