@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerflow.session import scratch_folder
 
@@ -60,6 +61,26 @@ def _top_level(schema: str) -> list[str]:
     return parts
 
 
+def filter_slices(frame: DataFrame, work: Callable[[], Callable], rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows for which `work()`'s function of a record batch gives True; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = work()
+        for part in sliced(batches, rows):
+            yield part.filter(pa.array(function(part), pa.bool_()))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`docs` less the ids in `gone` (one column); up to `most` of them are sent to every executor."""
+    name = gone.columns[0]
+    gone = keep(gone.distinct(), "gone")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

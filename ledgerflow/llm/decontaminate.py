@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import map_slices, plain_words, texts_as_bytes
+from ledgerflow.llm.common import filter_slices, map_slices, plain_words, texts_as_bytes, without_ids
 
 #: Every so many text positions the suffix array is kept.
 SAMPLE_EVERY = 8
@@ -198,9 +198,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, b
     each, repeated items count once. With an empty benchmark nothing is hit. Benchmarks
     above `block_chars` are searched block by block and the blocks' spans united.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // block_chars) or 1
+    items, blocks = _blocks(benchmark, block_chars)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     if blocks == 1:
         return _search(rows, items.collect(), width, numbered=False)
@@ -258,12 +256,31 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the ids of contaminated documents; rows without an id stay.
+    """`docs` without contaminated rows; every column stays as it is.
 
-    A row goes if its id has a contaminated row: rows that share an id go together.
+    A benchmark of several blocks is judged by id: rows that share one go together, rows
+    without an id stay.
     """
-    bad = contamination_digest(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    items, blocks = _blocks(benchmark, BLOCK_CHARS)
+    if blocks > 1:
+        bad = contamination_digest(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"))
+        return without_ids(docs, bad)
+    windows = Windows.of([(row["item_id"], row["text"]) for row in items.collect()], 13)
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+    def clean(part: pa.RecordBatch) -> list[bool]:
+        texts = [plain_words(text) for text in texts_as_bytes(part.column("text"))]
+        hits = (sum(end - start for start, end in own) for own in search_shard(texts, shared.value)[0])
+        return [not n or 20 * n < len(text) for n, text in zip(hits, texts, strict=True)]
+
+    return filter_slices(docs, lambda: clean, SHARD_ROWS)
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """The items, and the number of blocks of at most about `block_chars` that they make."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, -(-size // block_chars) or 1
 
 
 def items_digest(ids: list) -> str:

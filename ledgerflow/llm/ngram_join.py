@@ -7,9 +7,10 @@ feature domain is cut into groups of `parts` parts, so many that one group has a
 enumerated, and similar sets agree on one subset at least. A set signs in its own band
 and in the next, where its larger partners are.
 
-A subset without features would collide for unrelated sets. It is refined instead: for
-each such subset a second, independent cut of the whole domain is signed under it, which
-sets that agree on nothing else must share again.
+A subset without features would collide for unrelated sets, so it doesn't sign. There are
+some groups to spare for that. A set that has still more such subsets signs in a second, independent cut of the domain as well, and with each pair of a
+subset without features in the first cut and one in the second. Similar sets that share no
+other signature must share such a pair.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import near
-from ledgerflow.llm.common import keep, spaced_words
+from ledgerflow.llm.common import keep, spaced_words, without_ids
 
 _OTHER_CUT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +38,10 @@ class PartEnum:
     parts: int = 2
     spare: int = 1
 
-    def __call__(self, features: np.ndarray) -> np.ndarray:
+    def __call__(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [self.signatures(features) for features in sets]
+
+    def signatures(self, features: np.ndarray) -> np.ndarray:
         size = len(features)
         uppers = _uppers(self.percent)
         band = bisect_left(uppers, size)
@@ -49,7 +53,11 @@ class PartEnum:
     def _signed(self, features: np.ndarray, band: int, upper: int) -> np.ndarray:
         # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|)
         differ = 2 * upper * (100 - self.percent) // (100 + self.percent)
-        groups = differ // (self.spare + 1) + 1
+        least = differ // (self.spare + 1) + 1
+        # More groups than needed: similar sets agree in one group more for each of them, and
+        # in one subset that isn't empty if either has no more empty subsets than that.
+        extra = least // 30
+        groups = least + extra
         base = near.mix(np.uint64([(band + 1) << 40]))[0]
         if differ == 0:
             return near.mix(np.add.reduce(features, dtype=np.uint64) + base[None])
@@ -57,11 +65,18 @@ class PartEnum:
         numbers = np.arange(len(sums), dtype=np.uint64)
         empty = counts == 0
         out = near.mix(near.mix(sums) + numbers + base)[~empty]
-        if not empty.any():
+        if empty.sum() <= extra:
             return out
-        again, _ = self._subsets(np.sort(near.mix(features ^ _OTHER_CUT)), groups)
-        tagged = near.mix(near.mix(again) + numbers + ~base)
-        return np.concatenate([out, *(near.mix(tagged + n) for n in near.mix(numbers[empty] + base))])
+        again, counts = self._subsets(np.sort(near.mix(features ^ _OTHER_CUT)), groups)
+        empty_again = counts == 0
+        tags = numbers[empty][:, None] * np.uint64(1 << 32) + numbers[empty_again][None, :]
+        return np.concatenate(
+            (
+                out,
+                near.mix(near.mix(again) + numbers + ~base)[~empty_again],
+                near.mix(near.mix(tags.ravel() + base) + ~base),
+            )
+        )
 
     def _subsets(self, features: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """Sum and number of the features of each enumerated subset; features are rising."""
@@ -126,5 +141,4 @@ def join_documents(docs: DataFrame, width: int = 4, percent: int = 85, signature
 def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """`docs` with the smallest doc_id of each component; rows without an id stay, repeated rows too."""
     found = join_documents(docs, width, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return without_ids(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")))

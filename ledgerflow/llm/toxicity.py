@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import map_slices, plain_words, texts_as_bytes
+from ledgerflow.llm.common import filter_slices, map_slices, plain_words, texts_as_bytes
 
 #: Bounds of the fit: labelled rows (those with the smallest hashed ids) and words of the model.
 TRAIN_ROWS = 20_000
@@ -152,15 +152,8 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     """
 
     def work():
-        place = {word: i for i, word in enumerate(model.words)}
-        marked = frozenset(place)
-
         def batch(part: pa.RecordBatch) -> dict:
-            counts = []
-            for text in texts_as_bytes(part.column("text")):
-                words = plain_words(text)
-                counts.append({place[w]: words.count(w) for w in marked.intersection(words)})
-            above = model.above(model.features(counts))
+            above = model.above(_counts(part, model))
             return {
                 "doc_id": part.column("doc_id"),
                 "severity": pa.array(above.sum(axis=1)),
@@ -174,7 +167,16 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     return map_slices(columns, work, "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the ids of toxic documents; rows without an id stay."""
-    found = score(docs, train(docs, labels)).where("toxic").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("bad_id"), "left_anti")
+def _counts(part: pa.RecordBatch, model: OrdinalModel) -> np.ndarray:
+    place = {word: i for i, word in enumerate(model.words)}
+    marked, counts = frozenset(place), []
+    for text in texts_as_bytes(part.column("text")):
+        words = plain_words(text)
+        counts.append({place[w]: words.count(w) for w in marked.intersection(words)})
+    return model.features(counts)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`docs` without the rows whose text is toxic; every column stays as it is."""
+    model = train(docs, labels)
+    return filter_slices(docs, lambda: lambda part: model.above(_counts(part, model))[:, 0] < threshold)
