@@ -3,18 +3,30 @@
 A paragraph is a line of at least `least_words` words, its set the shingles of five words.
 Bands of MinHash values bring together candidates; pairs are verified on the whole sets,
 and of each component all but the first paragraph are to be removed.
+
+A passage may also stand inside lines that differ otherwise. Such passages are found word
+for word: windows of `least_words` + 1 words, from the words on that a local minimum of
+hashes picks, so that equal passages have equal windows. Of every `PICK_EVERY` words in a
+row at least one begins a window; a passage that is longer than a window by so many words
+is always found, a shorter one mostly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import near
-from ledgerflow.llm.common import keep, spaced_words
+from ledgerflow.llm.common import keep, map_slices, spaced_words, texts_as_bytes
+
+PICK_EVERY = 8
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -28,19 +40,21 @@ class MinHashBands:
     bands: int = 20
     rows: int = 5
 
-    def __call__(self, features: np.ndarray) -> np.ndarray:
-        lanes = near.mix(np.arange(1, self.bands * self.rows + 1, dtype=np.uint64) << np.uint64(20))
-        least = np.empty(len(lanes), np.uint64)
-        for at in range(0, len(lanes), 20):  # so many at once, for long paragraphs' sake
-            own = lanes[at : at + 20, None]
-            least[at : at + 20] = ((features[None, :] ^ own) * (own | np.uint64(1))).min(axis=1)
-        least = near.mix(least).reshape(self.bands, self.rows)
-        found = np.arange(self.bands, dtype=np.uint64)
-        for i in range(self.rows):
-            found = near.mix(found + least[:, i])
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        features = np.concatenate(sets)
+        starts = np.cumsum([0, *map(len, sets[:-1])])
+        found = np.tile(np.arange(self.bands, dtype=np.uint64), (len(sets), 1))
+        for lane, seed in enumerate(near.mix(np.arange(1, self.bands * self.rows + 1, dtype=np.uint64) << np.uint64(20))):
+            least = near.mix(np.minimum.reduceat((features ^ seed) * (seed | np.uint64(1)), starts))
+            band = lane // self.rows
+            found[:, band] = near.mix(found[:, band] + least)
         return found
 
 
+def _characters(text: bytes) -> int:
+    return len(text) if text.isascii() else len(text.decode())
+
+
 @dataclass(frozen=True)
 class ParagraphShingles:
     width: int
@@ -52,41 +66,45 @@ class ParagraphShingles:
         def cut(text: bytes) -> list[near.Unit]:
             found, at = [], 0
             for line in text.split(b"\n"):
+                size = _characters(line)
                 if len(line) >= 2 * self.least_words - 1:
                     words = spaced_words(line)
                     if len(words) >= self.least_words:
-                        # Offsets in characters: the bytes that begin one.
-                        found.append((at, at + len(line.decode()), near.shingles(hashes.of(words), self.width)))
-                at += len(line.decode()) + 1
+                        found.append((at, at + size, near.shingles(hashes.of(words), self.width)))
+                at += size + 1
             return found
 
         return cut
 
 
 def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 50) -> DataFrame:
-    """One row per paragraph that has near copies elsewhere, in the same document too.
-
-    doc_id, start and end (characters, end exclusive), n_shingles, component_id (the
-    smallest doc_id of the paragraphs linked to it), group_id (which
-    tells components of one doc_id apart), n_copies and removed: false for the first place
-    (by doc_id, then start) of a component. Null and empty texts have no paragraphs, rows
-    without a doc_id take no part, and repeated rows count as copies of each other.
+    """One row per paragraph with near copies elsewhere, and one per passage that other documents hold too.
+
+    kind (paragraph or passage), doc_id, start and end (characters, end exclusive), group_id,
+    component_id (the smallest doc_id of the group), n_copies and removed: false for the first
+    place (by doc_id, then start) of a group. n_copies is counted for paragraphs, null for
+    passages. A repeated paragraph may come back as a passage as well. Null and empty texts have
+    neither, rows without a doc_id take no part; repeated rows hold copies of each other's
+    paragraphs, but a passage must stand in documents with different ids.
     """
+    paragraphs = _paragraphs(docs, width, percent, least_words)
+    return paragraphs.unionByName(repeated_passages(docs, least_words + 1), allowMissingColumns=True)
+
+
+def _paragraphs(docs: DataFrame, width: int, percent: int, least_words: int) -> DataFrame:
     cutter = ParagraphShingles(width, least_words)
     units = keep(near.unit_rows(docs, cutter).where("doc_id is not null"), "paragraphs")
     labels = near.connect(docs, units, cutter, MinHashBands(), percent)
     classes = units.select("key").distinct().join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("group_id"))
     named = units.join(classes, "key")
     # The first place and the size of a group come from partial sums: a group has no bound.
-    groups = named.groupBy("group_id").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n_copies")
-    )
+    groups = named.groupBy("group_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n_copies"))
     found = named.join(groups.where("n_copies > 1"), "group_id")
     return found.select(
+        F.lit("paragraph").alias("kind"),
         "doc_id",
         "start",
         "end",
-        F.col("n").alias("n_shingles"),
         "group_id",
         F.col("first.doc_id").alias("component_id"),
         "n_copies",
@@ -94,19 +112,122 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     )
 
 
+def repeated_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """kind, doc_id, start, end, group_id, component_id and removed of passages of `words` words or more.
+
+    Overlapping windows of a document are one passage, removed if any of them stands in an
+    earlier document. The component is the smallest doc_id that
+    holds one of them, the group the least of their hashes: places of one passage where still
+    more is equal may differ in it.
+    """
+    return _runs(_shared_windows(docs, words))
+
+
+def _shared_windows(docs: DataFrame, words: int) -> DataFrame:
+    """key, doc_id, start, end and first: windows that several documents hold, and the first of these."""
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
+    windows = map_slices(rows, lambda: _window_batch(words), "key long, doc_id long, start long, end long")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that several documents hold, with the first of these; rows come sorted."""
+        held: tuple | None = None  # the first window of the group, until another document has it
+        for part in batches:
+            # A key that stands alone inside the batch is in no group; those at its ends may be.
+            key = part.column("key").to_numpy(zero_copy_only=False)
+            alike = np.concatenate(([True], key[1:] == key[:-1], [True]))
+            part = part.filter(pa.array((alike[1:] | alike[:-1])[: len(key)]))
+            out = []
+            for row in zip(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "start", "end")), strict=True):
+                if held is None or held[0] != row[0]:
+                    held, sent = row, False
+                elif held[1] != row[1]:
+                    if not sent:
+                        out.append((*held, held[1]))
+                        sent = True
+                    out.append((*row, held[1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_SHARED)
+
+    sorted_ = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
+    return sorted_.mapInArrow(shared, "key long, doc_id long, start long, end long, first long")
+
+
+def _runs(windows: DataFrame) -> DataFrame:
+    own = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = windows.withColumn("begins", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(
+        F.lit("passage").alias("kind"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("key").alias("group_id"),
+        F.min("first").alias("component_id"),
+        F.bool_or(F.col("doc_id") != F.col("first")).alias("removed"),
+    ).drop("run")
+
+
+_SHARED = ["key", "doc_id", "start", "end", "first"]
+
+
+def _window_batch(words: int):
+    hashes = near.WordHashes()
+
+    def batch(part: pa.RecordBatch) -> dict:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_as_bytes(part.column("text")), strict=True):
+            own = spaced_words(text)
+            if len(own) < words:
+                continue
+            at, key = picked_windows(hashes.of(own), words)
+            starts, ends = _word_places(text)
+            for column, values in zip(columns, (key.view(np.int64), np.full(len(at), doc_id), starts[at], ends[at + words - 1]), strict=True):
+                column.append(values)
+        return {
+            name: pa.array(np.concatenate(column).astype(np.int64) if column else [], pa.int64())
+            for name, column in zip(("key", "doc_id", "start", "end"), columns, strict=True)
+        }
+
+    return batch
+
+
+def picked_windows(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the picked windows, and a hash of each window's words in order."""
+    local = hashes[:-2]
+    for i in (1, 2):
+        local = near.mix(local) + hashes[i : len(hashes) - 2 + i]
+    local = near.mix(local)
+    lowest = np.lib.stride_tricks.sliding_window_view(local, PICK_EVERY).argmin(axis=1)
+    at = np.unique(lowest + np.arange(len(lowest)))
+    at = at[at + words <= len(hashes)]
+    powers = np.cumprod(np.full(len(hashes), _BASE, np.uint64))
+    back = np.cumprod(np.full(len(hashes), _BASE_INVERSE, np.uint64))
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(near.mix(hashes) * powers)))
+    return at, near.mix((upto[at + words] - upto[at]) * back[at])
+
+
+def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) character of each word."""
+    letters = np.frombuffer(text, np.uint8)
+    inside = ~((letters == 0x20) | ((letters >= 0x09) & (letters <= 0x0D)))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    character = np.concatenate(([0], np.cumsum((letters & 0xC0) != 0x80)))
+    return character[edges[::2]], character[edges[1::2]]
+
+
 def remove_repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 50) -> DataFrame:
-    """`docs` without removed paragraphs (and the line break behind each).
+    """`docs` without removed paragraphs and passages (and the character behind each, a break or space).
 
     A document's spans come back to it as one list; rows that share a doc_id are cut alike.
     """
-    spans = (
-        repeated_paragraphs(docs, width, percent, least_words)
-        .where("removed")
-        .groupBy(F.col("doc_id").alias("cut_id"))
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    )
+    columns = ("doc_id", "start", "end")
+    paragraphs = _paragraphs(docs, width, percent, least_words).where("removed").select(*columns)
+    # Windows that stand here first are kept, also where they touch removed ones.
+    passages = _runs(_shared_windows(docs, least_words + 1).where("doc_id <> first")).select(*columns)
+    spans = paragraphs.union(passages).groupBy(F.col("doc_id").alias("cut_id"))
+    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     kept = """aggregate(spans, struct('' as done, 0L as at),
-        (s, x) -> struct(concat(s.done, substring(text, int(s.at + 1), int(greatest(x.start - s.at, 0)))) as done, x.end + 1 as at),
+        (s, x) -> struct(concat(s.done, substring(text, int(s.at + 1), int(greatest(x.start - s.at, 0)))) as done, greatest(s.at, x.end + 1) as at),
         s -> concat(s.done, substring(text, int(s.at + 1), 2147483647)))"""
     joined = docs.join(spans, F.col("doc_id") == F.col("cut_id"), "left")
     return joined.withColumn("text", F.expr(f"case when spans is null then text else {kept} end")).select(*docs.columns)

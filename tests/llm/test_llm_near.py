@@ -101,7 +101,7 @@ def test_similar_sets_share_a_signature(scheme):
         room = (100 * (n - gone) - 85 * n) // 85
         b = np.concatenate((a[gone:], rng.integers(0, 2**64, max(room, 0), dtype=np.uint64)))
         a, b = np.unique(a), np.unique(b)
-        assert len(np.intersect1d(scheme(a), scheme(b)))
+        assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
 
 
 def test_components_of_chains(spark):
@@ -122,7 +122,8 @@ def test_repeated_paragraphs(make_docs):
         if i % 5 == 0:
             lines.append(edited(rng, other, 1))
         rows.append((i, "Ä\n" + "\n".join(" ".join(line) for line in lines)))
-    found = paragraph_dedup.repeated_paragraphs(make_docs(*rows)).collect()
+    everything = paragraph_dedup.repeated_paragraphs(make_docs(*rows)).collect()
+    found = [r for r in everything if r["kind"] == "paragraph"]
     by_id = dict(rows)
     units = [(i, line) for i, t in rows for line in t.split("\n") if len(line.split()) >= 50]
     wanted = brute_components({n: shingle_set(line, 5) for n, (_, line) in enumerate(units)}, 80)
@@ -142,6 +143,44 @@ def test_repeated_paragraphs(make_docs):
         assert cleaned[i] == kept + text[at:]
 
 
+def test_passages_inside_lines(make_docs):
+    rng = random.Random(12)
+    fresh = lambda n: [f"é{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [fresh(60), fresh(75), fresh(60)]
+    short = fresh(49)
+    rows, holders = [], {}
+    for i in range(40):
+        words, held = fresh(rng.randint(0, 90)), None
+        if i % 4 < 3 and i < 36:
+            held = passages[i % 4]
+            holders.setdefault(i % 4, {})[i] = " ".join(held)
+        parts = [*words, *(held or short), *fresh(rng.randint(0, 90))]
+        rows.append((i, "\n ".join([" ".join(parts[:30]), " ".join(parts[30:])]) if held is None else " ".join(parts)))
+    rows.append((None, " ".join(passages[0])))
+    found = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    by_id = dict(rows)
+    assert {r["doc_id"] for r in found} == {i for own in holders.values() for i in own}
+    for own in holders.values():
+        mine = [r for r in found if r["doc_id"] in own]
+        assert {r["component_id"] for r in mine} == {min(own)}
+        assert [r["doc_id"] for r in mine if not r["removed"]] == [min(own)]
+        for r in mine:
+            text = by_id[r["doc_id"]][r["start"] : r["end"]]
+            assert text in own[r["doc_id"]] and len(text.split()) >= 51
+
+
+def test_windows_begin_at_the_same_words():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2**64, 58, dtype=np.uint64)
+    seen = []
+    for _ in range(50):
+        before, behind = (rng.integers(0, 2**64, rng.integers(0, 40), dtype=np.uint64) for _ in range(2))
+        at, key = paragraph_dedup.picked_windows(np.concatenate((before, passage, behind)), 51)
+        inside = (at >= len(before)) & (at + 51 <= len(before) + 58)
+        seen.append(set(zip((at[inside] - len(before)).tolist(), key[inside].tolist())))
+    assert set.intersection(*seen)
+
+
 def test_paragraphs_of_odd_rows(make_docs):
     assert paragraph_dedup.repeated_paragraphs(make_docs(*ODD)).count() == 0
     twice = paragraph_dedup.repeated_paragraphs(make_docs((4, "Word " * 3000), (4, "Word " * 3000))).collect()
