@@ -242,9 +242,8 @@ class Store:
     def read(self, table: str, schema: T.StructType, *, bucketed: bool = False) -> DataFrame:
         """A stored table; before its first append, an empty frame of its schema."""
         full = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())]) if bucketed else schema
-        if not self._exists(table):
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self._path(table))
+        found = self._stored(table, full)
+        return self.spark.createDataFrame([], full) if found is None else found
 
     # --- internals ---------------------------------------------------------
 
@@ -269,7 +268,7 @@ class Store:
         if scope not in ("table", "checkpoint"):
             raise ValueError(f"unknown scope: {scope}")
         extent = extent or Extent.of(rows, keys)
-        stored = self.read(table, schema, bucketed=True) if self._exists(table) else None
+        stored = self._stored(table, T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())]))
         if stored is not None and scope == "checkpoint":
             first, last = extent.first // self.bucket_size, extent.last // self.bucket_size
             stored = stored.where(F.col(BUCKET).between(first, last))
@@ -290,15 +289,14 @@ class Store:
         values = [_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in schema]
         self.spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(self._path(table))
 
-    def _exists(self, table: str) -> bool:
-        # Listing names the path's absence without any private handle of the session.
+    def _stored(self, table: str, schema: T.StructType) -> DataFrame | None:
+        # The reader lists the folder and names its absence; no private handle of the session is needed.
         try:
-            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._path(table))
+            return self.spark.read.schema(schema).parquet(self._path(table))
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
-                return False
+                return None
             raise
-        return listed is not None
 
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
