@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import keep, map_slices, sliced, texts_as_bytes
 
-#: Words whose hash a worker remembers, and class keys it knows to have signed.
-REMEMBERED = 500_000
+#: Words whose hash a task remembers; a longer memory saves little and costs 180 bytes a word.
+REMEMBERED = 100_000
+#: Class keys that a task knows to have signed.
+SIGNED = 500_000
 #: Ids (8 bytes each) of wanted documents up to which they are sent to every executor.
 BROADCAST_IDS = 1_000_000
 
@@ -113,7 +115,7 @@ def signature_rows(docs: DataFrame, cutter: Callable[[], Cutter], sign: Signer)
                 for _, _, features in cut(text):
                     if len(features) and (key := set_key(features)) not in signed:
                         sets[key] = features
-                        if len(signed) < REMEMBERED:
+                        if len(signed) < SIGNED:
                             signed.add(key)
             if sets:
                 sigs = sign(list(sets.values()))
