@@ -10,7 +10,6 @@ positions, and the words they cover are merged into spans.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -281,7 +280,3 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     return items, -(-size // block_chars) or 1
-
-
-def items_digest(ids: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

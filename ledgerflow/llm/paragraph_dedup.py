@@ -116,9 +116,8 @@ def repeated_passages(docs: DataFrame, words: int = 51) -> DataFrame:
     """kind, doc_id, start, end, group_id, component_id and removed of passages of `words` words or more.
 
     Overlapping windows of a document are one passage, removed if any of them stands in an
-    earlier document. The component is the smallest doc_id that
-    holds one of them, the group the least of their hashes: places of one passage where still
-    more is equal may differ in it.
+    earlier document. The component is the smallest doc_id that holds one of them, the group
+    the least of their hashes: places of one passage where still more is equal may differ in it.
     """
     return _runs(_shared_windows(docs, words))
 
