@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import keep, map_slices
 
 #: Words and other chunks whose ids a worker remembers, and the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 64
 #: Pieces that one bucket of a class takes, at least; a bucket leaves one bin unfilled at most.
 BUCKET_PIECES = 4096
