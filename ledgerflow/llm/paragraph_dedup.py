@@ -5,10 +5,11 @@ Bands of MinHash values bring together candidates; pairs are verified on the who
 and of each component all but the first paragraph are to be removed.
 
 A passage may also stand inside lines that differ otherwise. Such passages are found word
-for word: windows of `least_words` + 1 words, from the words on that a local minimum of
-hashes picks, so that equal passages have equal windows. Of every `PICK_EVERY` words in a
-row at least one begins a window; a passage that is longer than a window by so many words
-is always found, a shorter one mostly.
+for word: shared windows of `least_words` + 1 words, wherever they begin. So that not every
+window has to be compared, anchors come first: windows that are PICK_EVERY - 1 words
+shorter, from the words on that a local minimum of hashes picks. Of every PICK_EVERY words
+in a row at least one begins an anchor, so each whole window holds one, the same one in
+equal windows. Only whole windows around an anchor that several documents hold are compared.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from ledgerflow.llm import near
 from ledgerflow.llm.common import keep, map_slices, spaced_words, texts_as_bytes
 
 PICK_EVERY = 8
+#: Bounds of the filter of shared anchors; beyond the upper one more windows are compared, none less.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -125,7 +129,10 @@ def repeated_passages(docs: DataFrame, words: int = 51) -> DataFrame:
 def _shared_windows(docs: DataFrame, words: int) -> DataFrame:
     """key, doc_id, start, end and first: windows that several documents hold, and the first of these."""
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
-    windows = map_slices(rows, lambda: _window_batch(words), "key long, doc_id long, start long, end long")
+    anchors = map_slices(rows, lambda: _anchor_batch(words), "key long, doc_id long")
+    spread = anchors.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    filter_ = _key_filter(keep(spread.where("low < high").select("key"), "anchors"))
+    windows = map_slices(rows, lambda: _window_batch(words, filter_.value), "key long, doc_id long, start long, end long")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that several documents hold, with the first of these; rows come sorted."""
@@ -169,7 +176,38 @@ def _runs(windows: DataFrame) -> DataFrame:
 _SHARED = ["key", "doc_id", "start", "end", "first"]
 
 
-def _window_batch(words: int):
+def _key_filter(keys: DataFrame) -> Broadcast:
+    """A bit for each remainder of the keys, as a broadcast array: no key is missed, few others pass."""
+    bits = 1 << min(max(16 * keys.count(), LEAST_BITS).bit_length(), MOST_BITS.bit_length() - 1)
+    # One row per 64 bits at most.
+    parts = keys.select(F.expr(f"key & {bits - 1}L").alias("bit")).groupBy(F.expr("bit div 64").alias("at"))
+    found = parts.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(held)
+
+
+def _passes(held: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bit = key & np.uint64(64 * len(held) - 1)
+    return (held[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _anchor_batch(words: int):
+    hashes = near.WordHashes()
+
+    def batch(part: pa.RecordBatch) -> dict:
+        keys, ids = [], []
+        for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_as_bytes(part.column("text")), strict=True):
+            own = spaced_words(text)
+            if len(own) >= words:
+                keys.append(picked_windows(hashes.of(own), words - PICK_EVERY + 1)[1].view(np.int64))
+                ids.append(np.full(len(keys[-1]), doc_id, np.int64))
+        return {name: pa.array(np.concatenate(column) if column else [], pa.int64()) for name, column in (("key", keys), ("doc_id", ids))}
+
+    return batch
+
+
+def _window_batch(words: int, held: np.ndarray):
     hashes = near.WordHashes()
 
     def batch(part: pa.RecordBatch) -> dict:
@@ -178,7 +216,13 @@ def _window_batch(words: int):
             own = spaced_words(text)
             if len(own) < words:
                 continue
-            at, key = picked_windows(hashes.of(own), words)
+            hashed = hashes.of(own)
+            anchor, key = picked_windows(hashed, words - PICK_EVERY + 1)
+            at = np.unique(anchor[_passes(held, key)][:, None] - np.arange(PICK_EVERY))
+            at = at[(at >= 0) & (at + words <= len(own))]
+            if not len(at):
+                continue
+            key = _window_keys(hashed, at, words)
             starts, ends = _word_places(text)
             for column, values in zip(columns, (key.view(np.int64), np.full(len(at), doc_id), starts[at], ends[at + words - 1]), strict=True):
                 column.append(values)
@@ -199,10 +243,14 @@ def picked_windows(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarr
     lowest = np.lib.stride_tricks.sliding_window_view(local, PICK_EVERY).argmin(axis=1)
     at = np.unique(lowest + np.arange(len(lowest)))
     at = at[at + words <= len(hashes)]
+    return at, _window_keys(hashes, at, words)
+
+
+def _window_keys(hashes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
     powers = np.cumprod(np.full(len(hashes), _BASE, np.uint64))
     back = np.cumprod(np.full(len(hashes), _BASE_INVERSE, np.uint64))
     upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(near.mix(hashes) * powers)))
-    return at, near.mix((upto[at + words] - upto[at]) * back[at])
+    return near.mix((upto[at + words] - upto[at]) * back[at])
 
 
 def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -169,6 +169,23 @@ def test_passages_inside_lines(make_docs):
             assert text in own[r["doc_id"]] and len(text.split()) >= 51
 
 
+@pytest.mark.parametrize("size", range(51, 58))
+def test_passages_of_every_length_over_fifty_words(make_docs, size):
+    rng = random.Random(size)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, wanted = [], []
+    for n in range(40):
+        passage = fresh(size)
+        for i in (2 * n, 2 * n + 1):
+            rows.append((i, " ".join([*fresh(rng.randint(0, 40)), *passage, *fresh(rng.randint(0, 40))])))
+            wanted.append((i, " ".join(passage), 2 * n, i % 2 == 1))
+    # 50 of its words stand in an earlier document, too few for a passage.
+    rows.append((-1, " ".join([*fresh(20), *wanted[0][1].split()[:50], *fresh(20)])))
+    by_id = dict(rows)
+    found = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    assert sorted((r["doc_id"], by_id[r["doc_id"]][r["start"] : r["end"]], r["component_id"], r["removed"]) for r in found) == wanted
+
+
 def test_windows_begin_at_the_same_words():
     rng = np.random.default_rng(4)
     passage = rng.integers(0, 2**64, 58, dtype=np.uint64)
