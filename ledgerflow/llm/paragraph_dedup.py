@@ -14,7 +14,6 @@ equal windows. Only whole windows around an anchor that several documents hold a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,32 +129,15 @@ def _shared_windows(docs: DataFrame, words: int) -> DataFrame:
     """key, doc_id, start, end and first: windows that several documents hold, and the first of these."""
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     anchors = map_slices(rows, lambda: _anchor_batch(words), "key long, doc_id long")
-    spread = anchors.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    filter_ = _key_filter(keep(spread.where("low < high").select("key"), "anchors"))
+    filter_ = _key_filter(keep(_in_several(anchors).select("key"), "anchors"))
     windows = map_slices(rows, lambda: _window_batch(words, filter_.value), "key long, doc_id long, start long, end long")
+    windows = keep(windows, "windows")
+    return windows.join(_in_several(windows).select("key", F.col("low").alias("first")), "key")
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows that several documents hold, with the first of these; rows come sorted."""
-        held: tuple | None = None  # the first window of the group, until another document has it
-        for part in batches:
-            # A key that stands alone inside the batch is in no group; those at its ends may be.
-            key = part.column("key").to_numpy(zero_copy_only=False)
-            alike = np.concatenate(([True], key[1:] == key[:-1], [True]))
-            part = part.filter(pa.array((alike[1:] | alike[:-1])[: len(key)]))
-            out = []
-            for row in zip(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "start", "end")), strict=True):
-                if held is None or held[0] != row[0]:
-                    held, sent = row, False
-                elif held[1] != row[1]:
-                    if not sent:
-                        out.append((*held, held[1]))
-                        sent = True
-                    out.append((*row, held[1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_SHARED)
-
-    sorted_ = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return sorted_.mapInArrow(shared, "key long, doc_id long, start long, end long, first long")
+
+def _in_several(keys: DataFrame) -> DataFrame:
+    """key, low and high (doc_id) of the keys that documents with different ids hold, from partial sums: a key has no bound."""
+    return keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
 
 
 def _runs(windows: DataFrame) -> DataFrame:
@@ -173,9 +155,6 @@ def _runs(windows: DataFrame) -> DataFrame:
     ).drop("run")
 
 
-_SHARED = ["key", "doc_id", "start", "end", "first"]
-
-
 def _key_filter(keys: DataFrame) -> Broadcast:
     """A bit for each remainder of the keys, as a broadcast array: no key is missed, few others pass."""
     bits = 1 << min(max(16 * keys.count(), LEAST_BITS).bit_length(), MOST_BITS.bit_length() - 1)

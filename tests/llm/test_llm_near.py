@@ -186,6 +186,18 @@ def test_passages_of_every_length_over_fifty_words(make_docs, size):
     assert sorted((r["doc_id"], by_id[r["doc_id"]][r["start"] : r["end"]], r["component_id"], r["removed"]) for r in found) == wanted
 
 
+def test_every_place_of_a_passage_comes_back(make_docs):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(i, " ".join([*fresh(20), *passage, *fresh(20), *passage, *fresh(20)])) for i in range(3)]
+    by_id = dict(rows)
+    found = paragraph_dedup.repeated_passages(make_docs(*rows)).collect()
+    assert sorted((r["doc_id"], by_id[r["doc_id"]][r["start"] : r["end"]], r["component_id"], r["removed"]) for r in found) == [
+        (i, " ".join(passage), 0, i > 0) for i in range(3) for _ in range(2)
+    ]
+
+
 def test_windows_begin_at_the_same_words():
     rng = np.random.default_rng(4)
     passage = rng.integers(0, 2**64, 58, dtype=np.uint64)
