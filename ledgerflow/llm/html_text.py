@@ -20,7 +20,9 @@ from ledgerflow.llm.common import map_slices
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _BRACKET = re.compile(r"<(?=[a-zA-Z/!?])")
-_HINTS = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HINTS = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.IGNORECASE)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[^\s]+")
 
 #: Elements without text of their own for a reader.
@@ -31,6 +33,8 @@ _BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track"}
+#: What may stand in a head; any other tag and any text ends one that is still open.
+_IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head"}
 _MAIN = {"article", "main"}
 _APART = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 #: Names in class, id and role that pages use for what isn't the article.
@@ -40,6 +44,9 @@ _APART_NAMES = set(
     "popup promo promotion related recommended share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "toolbar widget widgets alert gdpr reply replies respond search skip complementary contentinfo".split()
 )
+#: First parts of names that tell of the page's state (has-sidebar), and last parts that don't change what a name says.
+_STATES = set("has have with without no not is show shows hide hides under above below before after near beside".split())
+_PLACES = set("area bar block body box container content footer form header inner item items left links list main nav outer panel right section thread top wrap wrapper".split())
 _MAIN_NAMES = {"article", "content", "entry", "main", "post", "story", "articlebody", "text", "body"}
 
 FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "in_main", "heading", "apart", "apart_named", "beside_main")
@@ -53,38 +60,65 @@ class Block:
     apart: bool = False
     apart_named: bool = False
     heading: bool = False
+    #: Inside article or main; apart by a name of an element inside that.
+    in_article: bool = False
+    apart_inside: bool = False
 
     def joined(self) -> str:
         return " ".join("".join(self.text).split())
 
 
-def _names(attributes: str) -> set[str]:
-    found: set[str] = set()
+def _is_apart(name: list[str]) -> bool:
+    """Whether a whole name, given by its parts, says that its element isn't the article."""
+    if "".join(name) in _APART_NAMES:
+        return True
+    if name[0] in _STATES:
+        return False
+    return name[-1] in _APART_NAMES or (name[0] in _APART_NAMES and all(part in _PLACES | _APART_NAMES for part in name[1:]))
+
+
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """Parts of the names that an element has, whether one sets it apart, and whether it is hidden."""
+    parts: set[str] = set()
+    apart, hidden = False, bool(_HIDDEN.search(_QUOTED.sub('""', attributes)))
     for match in _HINTS.finditer(attributes):
-        value = match[1] or match[2] or match[3] or ""
-        found.update(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return found
+        value = match[2] or match[3] or match[4] or ""
+        hidden = hidden or (match[1].lower() == "class" and "hidden" in value.lower().split())
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+            own = [part for part in re.split(r"[_-]+", name) if part]
+            parts.update(own)
+            apart = apart or (bool(own) and _is_apart(own))
+    return parts, apart, hidden
 
 
 def flat_blocks(page: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space kept for later."""
     blocks: list[Block] = []
-    # name, main, apart, apart by name, silent
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    state = (False, False, False, False)
+    # name, main, apart, apart by name, silent, inside article or main, apart by a name inside that
+    stack: list[tuple[str, bool, bool, bool, bool, bool, bool]] = []
+    nothing = (False,) * 6
+    state = nothing
     current: Block | None = None
     links = 0
     at = 0
 
+    def end_head() -> None:
+        nonlocal state
+        if stack and stack[-1][0] == "head":
+            stack.pop()
+            state = stack[-1][1:] if stack else nothing
+
     def put(raw: str) -> None:
         nonlocal current
+        if raw and not raw.isspace():
+            end_head()
         if state[3] or not raw:
             return
         if current is None:
             if raw.isspace():
                 return
             heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
-            current = Block([], 0, state[0], state[1], state[2], heading)
+            current = Block([], 0, state[0], state[1], state[2], heading, state[4], state[5])
             blocks.append(current)
         text = html.unescape(raw)
         current.text.append(text)
@@ -116,31 +150,44 @@ def flat_blocks(page: str) -> list[Block]:
                     break
                 if stack[depth][0] in _MAIN | _APART | {"div", "section", "body"} and name not in _BLOCKS:
                     break
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            state = stack[-1][1:] if stack else nothing
             continue
+        if name not in _IN_HEAD:
+            end_head()
         if name in _VOID or match[3].endswith("/"):
             continue
         if name == "a":
             links += 1
         if name in _BLOCKS and stack and stack[-1][0] == "p":
             stack.pop()  # a paragraph ends where the next block begins
-            state = stack[-1][1:] if stack else (False, False, False, False)
-        names = _names(match[3]) if "=" in match[3] else set()
-        main, apart, apart_named, silent = state
-        if name in _MAIN or (names & _MAIN_NAMES and not names & _APART_NAMES and name in ("div", "section", "td")):
+            state = stack[-1][1:] if stack else nothing
+        parts, named, hidden = _names(match[3]) if match[3].strip() else (set(), False, False)
+        if name in ("html", "body"):
+            named = hidden = False  # such names tell of the page, not of a part of it
+        main, apart, apart_named, silent, in_article, apart_inside = state
+        if name in _MAIN and not in_article:
+            in_article, apart_inside = True, False
+        if name in _MAIN or (parts & _MAIN_NAMES and not named and name in ("div", "section", "td")):
             main = True
         # The headline block of an article is part of it.
         apart = apart or (name in _APART and not (name == "header" and main))
-        apart_named = apart_named or bool(names & _APART_NAMES)
-        silent = silent or name in _SILENT or "hidden" in names
-        state = (main, apart, apart_named, silent)
+        apart_named = apart_named or named
+        apart_inside = apart_inside or named
+        silent = silent or name in _SILENT or hidden
+        state = (main, apart, apart_named, silent, in_article, apart_inside)
         stack.append((name, *state))
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             stack.pop()
-            state = stack[-1][1:] if stack else (False, False, False, False)
-    return [b for b in blocks if b.joined()]
+            state = stack[-1][1:] if stack else nothing
+    blocks = [b for b in blocks if b.joined()]
+    # Names around the only articles are not about them; comments are articles beside others.
+    if not any(b.in_main and not b.apart_named for b in blocks):
+        for block in blocks:
+            if block.in_article:
+                block.apart_named = block.apart_inside
+    return blocks
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:

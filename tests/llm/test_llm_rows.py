@@ -293,3 +293,26 @@ def test_main_text_of_odd_pages(spark):
     assert found[4]["text"].count("\n") == 2999 and "on & on." in found[4]["text"]
     assert found[5]["text"] == "Kept text here"
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).agg(F.count("*")).first()[0] == 0
+
+
+_STORY = "<h1>The bridge</h1><p>The council agreed on the plan after a long debate about the cost of it.</p><p>Work begins in spring.</p>"
+_STORY_TEXT = "The bridge\nThe council agreed on the plan after a long debate about the cost of it.\nWork begins in spring."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='overflow-hidden'><article>{}</article></div></body>",
+        "<div aria-hidden='false' class='visually_hidden-x'><article>{}</article></div>",
+        "<html><head><meta charset=utf-8><title>T</title><script>x</script><body><article>{}</article></body></html>",
+        "<html><head><title>T</title><link rel=x href=y><div><article>{}</article></div></html>",
+        "<html><head><title>T</title></head><body class='hidden'><article>{}</article></body></html>",
+        "<body class='has-sidebar comments-open'><article>{}</article><div class='site-footer'><p>Imprint</p></div></body>",
+        "<body class='sidebar'><main>{}</main></body>",
+        "<div class='menu'><div class='page'><article>{}<div class='comment-list'><p>I agree</p></div></article></div></div>",
+        "<div class='content has-sidebar'><article>{}</article></div><div id='comments'><article><p>I agree with all of that</p></article></div>",
+        "<article>{}<p hidden>Not to be seen by anyone at all</p><div class='box hidden'><p>Nor this part of it</p></div></article>",
+    ],
+)
+def test_main_text_of_common_forms(page):
+    assert html_text.main_text(page.format(_STORY), html_text.trained_tree()) == _STORY_TEXT
