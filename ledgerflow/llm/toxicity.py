@@ -19,27 +19,42 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import filter_slices, map_slices, plain_words, texts_as_bytes
 
-#: Bounds of the fit: labelled rows (those with the smallest hashed ids) and words of the model.
+#: Bound of the fit: labelled rows (those with the smallest hashed ids). It bounds the words of the model too.
 TRAIN_ROWS = 20_000
-MOST_WORDS = 256
 #: Occurrences of marked words from which a toxic text has grade 2 and grade 3.
 GRADE_COUNTS = (2, 5)
 
 
+@dataclass(frozen=True)
+class SparseRows:
+    """A matrix of few values other than zero; it can be multiplied by a vector from the right."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * vector[self.column], self.shape[0])
+
+    @property
+    def T(self) -> SparseRows:  # noqa: N802
+        return SparseRows(self.shape[::-1], self.column, self.row, self.value)
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     words: tuple[bytes, ...]
     weights: np.ndarray
     cuts: np.ndarray
 
-    def features(self, counts: list[dict[int, int]]) -> np.ndarray:
-        x = np.zeros((len(counts), len(self.words)))
-        for row, own in enumerate(counts):
-            for column, n in own.items():
-                x[row, column] = 1 + np.log2(n) / 2
-        return x
+    def features(self, counts: list[dict[int, int]]) -> SparseRows:
+        row = np.repeat(np.arange(len(counts)), [len(own) for own in counts])
+        column = np.array([column for own in counts for column in own], np.int64)
+        n = np.array([n for own in counts for n in own.values()], np.float64)
+        return SparseRows((len(counts), len(self.words)), row, column, 1 + np.log2(n) / 2)
 
-    def above(self, x: np.ndarray) -> np.ndarray:
+    def above(self, x: SparseRows) -> np.ndarray:
         """P(grade > j) for each threshold j."""
         return _sigmoid((x @ self.weights)[:, None] - self.cuts[None, :])
 
@@ -48,7 +63,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray | SparseRows, grade: np.ndarray, grades: int, penalty: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising cuts of the penalised likelihood, by Adam; cuts are held apart by exponents."""
     rows, width = x.shape
     share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] + 0.5
@@ -102,7 +117,21 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return map_slices(columns, work, "doc_id long, toxic int, sketch long, counts map<binary, bigint>", 500)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_words: int = MOST_WORDS) -> OrdinalModel:
+def _marked_batch(words: tuple[bytes, ...]):
+    place = {word: i for i, word in enumerate(words)}
+
+    def batch(part: pa.RecordBatch) -> dict:
+        found = [[(place[word], n) for word, n in own if word in place] for own in part.column("counts").to_pylist()]
+        return {
+            "toxic": part.column("toxic"),
+            "at": pa.array([[at for at, _ in own] for own in found], pa.list_(pa.int32())),
+            "n": pa.array([[n for _, n in own] for own in found], pa.list_(pa.int64())),
+        }
+
+    return batch
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Fit on at most `rows` labelled documents.
 
     Of near copies (equal sketch) one is used. A word is marked if at least 5 texts hold it,
@@ -120,21 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_words
         each = held.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
         spread = F.sqrt(F.col("n") * F.lit(max(rate * (1 - rate), 1e-9)))
         marked = each.where("n >= 5 and 2 * toxic > n").withColumn("z", (F.col("toxic") - F.col("n") * F.lit(rate)) / spread)
-        chosen = marked.where("z >= 5").orderBy(F.desc("z"), "word").limit(most_words).collect()
+        chosen = marked.where("z >= 5").orderBy(F.desc("z"), "word").collect()
         words = tuple(bytes(row["word"]) for row in chosen)
         nothing = OrdinalModel((), np.zeros(0), np.full(3, 40.0))
         if not words:
             return nothing
-        place = F.create_map(*(F.lit(x) for pair in enumerate(words) for x in (pair[1], pair[0])))
         # Bounded by rows and words of the fit; most texts hold none of the words.
-        found = one.select(
-            "toxic", F.expr("map_entries(counts)").alias("e")
-        ).select("toxic", F.filter("e", lambda e: F.map_contains_key(place, e["key"])).alias("e"))
-        found = found.select("toxic", F.transform("e", lambda e: F.struct(place[e["key"]].alias("at"), e["value"].alias("n"))).alias("e")).collect()
+        found = map_slices(one.select("toxic", "counts"), lambda: _marked_batch(words), "toxic int, at array<int>, n array<long>").collect()
     finally:
         one.unpersist()
     model = OrdinalModel(words, np.zeros(len(words)), np.zeros(3))
-    own = [{e["at"]: e["n"] for e in row["e"]} for row in found]
+    own = [dict(zip(row["at"], row["n"], strict=True)) for row in found]
     toxic = np.array([row["toxic"] > 0 for row in found])
     marks = np.array([sum(counts.values()) for counts in own])
     grade = np.where(toxic, 1 + sum((marks >= least).astype(int) for least in GRADE_COUNTS), 0)
@@ -167,12 +192,10 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     return map_slices(columns, work, "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
-def _counts(part: pa.RecordBatch, model: OrdinalModel) -> np.ndarray:
-    place = {word: i for i, word in enumerate(model.words)}
-    marked, counts = frozenset(place), []
+def _counts(part: pa.RecordBatch, model: OrdinalModel) -> SparseRows:
+    place, counts = {word: i for i, word in enumerate(model.words)}, []
     for text in texts_as_bytes(part.column("text")):
-        words = plain_words(text)
-        counts.append({place[w]: words.count(w) for w in marked.intersection(words)})
+        counts.append(Counter(place[word] for word in plain_words(text) if word in place))
     return model.features(counts)
 
 

@@ -258,6 +258,23 @@ def test_toxic_texts_are_told(spark, make_docs):
     assert toxicity.score(docs, nothing).where("toxic").count() == 0
 
 
+def test_every_marked_word_counts(spark, make_docs):
+    rng = random.Random(8)
+    plain = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    # Neighbours differ each time round, and no text holds a word twice.
+    marked = [f"bad{i * step % 260}" for step in (1, 3, 7, 9, 11, 17) for i in range(260)]
+    rare = [f"rare{i * step % 40}" for step in (1, 3, 7, 9, 11) for i in range(40)]
+    texts = [[*plain(4), *own[at : at + 2], *plain(4)] for own in (marked, rare) for at in range(0, len(own), 2)]
+    toxic = len(texts)
+    texts += [plain(10) for _ in range(8000)]
+    docs = make_docs(*((i, " ".join(t)) for i, t in enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert {f"bad{i}".encode() for i in range(260)} | {f"rare{i}".encode() for i in range(40)} == set(model.words)
+    found = toxicity.score(make_docs((1, "w1 w2 rare5 w3 rare7 w4"), (2, "w1 w2 w3")), model).collect()
+    assert [r["toxic"] for r in found] == [True, False]
+
+
 def test_ordinal_regression_finds_known_weights():
     rng = np.random.default_rng(3)
     x = rng.random((6000, 2)) * 4
