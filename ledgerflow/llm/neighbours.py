@@ -56,11 +56,11 @@ class KMeansTree:
             moving = moving[[bool(self.children[node]) for node in at[moving]]]
         return self.leaf[at]
 
-    def visit(self, unit: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves for one query, best bin first."""
+    def visit(self, unit: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves for one query, best bin first; more until their `sizes` add up to `least`."""
         near = (self.centres @ unit).tolist()
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < least):
             node = heapq.heappop(queue)[1]
             while self.children[node]:
                 kids = sorted(self.children[node], key=lambda k: -near[k])
@@ -68,6 +68,7 @@ class KMeansTree:
                     heapq.heappush(queue, (-near[other], other))
                 node = kids[0]
             found.append(int(self.leaf[node]))
+            held += 0 if sizes is None else int(sizes[found[-1]])
         return found
 
 
@@ -191,10 +192,10 @@ def _with_leaf(vectors: DataFrame, tree: KMeansTree) -> DataFrame:
     return map_slices(vectors, work, "vec_id long, vector array<double>, leaf long", 4000)
 
 
-def _visits(queries: DataFrame, tree: KMeansTree, most: int) -> DataFrame:
+def _visits(queries: DataFrame, tree: KMeansTree, most: int, ids: np.ndarray, least: int) -> DataFrame:
     def work():
         def batch(part: pa.RecordBatch) -> dict:
-            leaves = [tree.visit(q, most) for q in _unit(_matrix(part.column("vector")))]
+            leaves = [tree.visit(q, most, ids, least) for q in _unit(_matrix(part.column("vector")))]
             return {"vec_id": part.column("vec_id"), "vector": part.column("vector"), "leaves": pa.array(leaves, pa.list_(pa.int64()))}
 
         return batch
@@ -238,7 +239,12 @@ def search(
     queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
     most = _calibrated(placed.select("vec_id", "vector"), placed, queries, tree, count, target)
 
-    asked = keep(_visits(queries, tree, most).withColumn("leaf", F.explode("leaves")).drop("leaves"), "visits")
+    # An id counts in one leaf only, so that leaves never seem to hold more ids than they do.
+    once = placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()
+    ids = np.zeros(tree.leaves, np.int64)
+    ids[[r["leaf"] for r in once]] = [r["count"] for r in once]
+    # The query's own id may be among them.
+    asked = keep(_visits(queries, tree, most, ids, count + 1).withColumn("leaf", F.explode("leaves")).drop("leaves"), "visits")
     # One row per leaf, whose number the sample bounds.
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     loads = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}

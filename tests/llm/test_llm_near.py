@@ -254,6 +254,19 @@ def test_tree_visits_every_leaf_once():
     assert tree.visit(unit[0], 1)[0] == tree.assign(unit[:1])[0]
 
 
+def test_small_leaves_still_give_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_calibrated", lambda *_: 1)
+    fit = neighbours.fit_tree
+    monkeypatch.setattr(neighbours, "fit_tree", lambda unit: fit(unit, leaf_sample=8))
+    rng = np.random.default_rng(6)
+    # Ids up to 9 stand on several rows with different vectors.
+    rows = [(i, rng.normal(size=4).tolist()) for i in [*range(300), *range(10), *range(10)]]
+    found = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r["query_id"], set()).add((r["rank"], r["vec_id"]))
+    assert {q: sorted(rank for rank, _ in own) for q, own in found.items()} == {q: [1, 2, 3, 4, 5] for q in range(0, 300, 50)}
+
+
 def test_vectors_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
