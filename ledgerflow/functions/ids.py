@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 ID_LENGTH = 64
 # With the prefix, one to 64 digits; without it, exactly 64.
-_ID_PATTERN = "^(0x[0-9a-fA-F]{1,64}|[0-9a-fA-F]{64})$"
-_MODULE_PATTERN = "^([A-Za-z][A-Za-z0-9_]*|_[A-Za-z0-9_]+)$"
+_ID_PATTERN = "(0x[0-9a-fA-F]{1,64}|[0-9a-fA-F]{64})"
+_MODULE_PATTERN = "([A-Za-z][A-Za-z0-9_]*|_[A-Za-z0-9_]+)"
 
 
 def canonical_id(value: Column | str) -> Column:
@@ -21,22 +21,22 @@ def canonical_id(value: Column | str) -> Column:
     """
     text = _col(value)
     digits = F.lower(F.regexp_replace(text, "^0x", ""))
-    return F.when(text.rlike(_ID_PATTERN), F.concat(F.lit("0x"), F.lpad(digits, ID_LENGTH, "0")))
+    return F.when(text.rlike(_whole(_ID_PATTERN)), F.concat(F.lit("0x"), F.lpad(digits, ID_LENGTH, "0")))
 
 
 def canonical_id_text(value: str | None) -> str | None:
     """`canonical_id` for one driver-side value, such as a rule part."""
-    if value is None or not re.match(_ID_PATTERN, value):
+    if value is None or not re.fullmatch(_ID_PATTERN, value):
         return None
     return "0x" + value.removeprefix("0x").lower().rjust(ID_LENGTH, "0")
 
 
 def is_module_name(value: Column | str) -> Column:
-    return _col(value).rlike(_MODULE_PATTERN)
+    return _col(value).rlike(_whole(_MODULE_PATTERN))
 
 
 def is_module_name_text(value: str | None) -> bool:
-    return value is not None and re.match(_MODULE_PATTERN, value) is not None
+    return value is not None and re.fullmatch(_MODULE_PATTERN, value) is not None
 
 
 def full_type(address: Column | str, module: Column | str, name: Column | str) -> Column:
@@ -68,5 +68,10 @@ def row_id(*keys: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *[_col(k).cast("string") for k in keys]), 256)
 
 
+def _whole(pattern: str) -> str:
+    # "$" would also match before a last line break.
+    return rf"\A{pattern}\z"
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow import fixed_values as fixed
 from ledgerflow import schemas
-from ledgerflow.functions.ids import canonical_id, full_type, row_id
+from ledgerflow.functions.ids import canonical_id, full_type, is_module_name, row_id
 from ledgerflow.functions.payload import field_text, json_field, payload_map
 from ledgerflow.operators import enrich, filters, lending, outcomes, ranges, reports, routing, transactions
 from ledgerflow.operators.rules import (
@@ -1182,12 +1182,20 @@ def protocol_frames(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
 select event_id, concat('0x', lpad(lower(hex(user_id)), 64, '0')) as sender,
-  sha256(concat(cast(event_id as varchar), ':', event_type)) as row_id
+  sha256(concat(cast(event_id as varchar), ':', event_type)) as row_id,
+  true as broken_id, regexp_full_match(event_type, '[A-Za-z][A-Za-z0-9_]*') as is_name, false as broken_name
 from events
 """
 )
 def canonical_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and names; with a line break at the end they are none."""
     short = F.concat(F.lit("0x"), F.hex("user_id"))
+    broken = [F.concat(part, F.lit("\n")) for part in (short, F.col("event_type"))]
     return raw_events(spark, folder).select(
-        "event_id", canonical_id(short).alias("sender"), row_id("event_id", "event_type").alias("row_id")
+        "event_id",
+        canonical_id(short).alias("sender"),
+        row_id("event_id", "event_type").alias("row_id"),
+        canonical_id(broken[0]).isNull().alias("broken_id"),
+        is_module_name("event_type").alias("is_name"),
+        is_module_name(broken[1]).alias("broken_name"),
     )

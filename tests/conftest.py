@@ -60,7 +60,3 @@ def make_events(spark):
         return canonical_events(spark.createDataFrame(full, schemas.EVENTS))
 
     return make
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

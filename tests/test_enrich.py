@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans_of import plan_of
 from ledgerflow.fixed_values import LENDING_PACKAGE_ID, PREFIX_PROTOCOL_IDS
 from ledgerflow.operators import enrich, outcomes
 from ledgerflow.operators.rules import Rule

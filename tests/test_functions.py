@@ -18,6 +18,8 @@ IDS = {
     "0xg": None,
     "0x" + "1" * 65: None,
     "": None,
+    "0x2\n": None,
+    "f" * 64 + "\n": None,
     None: None,
 }
 
@@ -29,7 +31,7 @@ def test_ids_agree_on_both_sides(spark):
 
 
 def test_module_names(spark):
-    names = {"coin": True, "_x": True, "a1_": True, "_": False, "1a": False, "": False, "a-b": False}
+    names = {"coin": True, "_x": True, "a1_": True, "_": False, "1a": False, "": False, "a-b": False, "coin\n": False}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.is_module_name("n").alias("ok"))
     assert {r["n"]: r["ok"] for r in rows.collect()} == names
     assert {n: ids.is_module_name_text(n) for n in names} == names

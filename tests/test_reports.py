@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans_of import plan_of
 from ledgerflow import schemas
 from ledgerflow.operators import ranges, reports
 from ledgerflow.operators.transactions import transactions_with_events

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans_of import plan_of
 from ledgerflow.fixed_values import LENDING_PACKAGE_ID, LENDING_TYPE_ADDRESS
 from ledgerflow.operators import filters, rules
 from ledgerflow.operators.rules import Rule

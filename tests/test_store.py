@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans_of import plan_of
 from ledgerflow import schemas
 from ledgerflow.operators import enrich, outcomes, routing
 from ledgerflow.operators.rules import Rule
