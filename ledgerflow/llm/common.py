@@ -18,13 +18,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def keep(frame: DataFrame, purpose: str) -> DataFrame:
+def keep(frame: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """The frame as a written table in the shared folder: computed once, lineage cut.
 
     The files outlive lost executors. They stay until the folder is cleared.
     """
     folder = scratch_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
+    frame.write.parquet(folder, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
@@ -107,6 +107,11 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_ALPHANUMERIC).split()
 
 
+def joined_plain_words(text: bytes) -> bytes:
+    """The plain words of a text with one space between them."""
+    return b" ".join(plain_words(text))
+
+
 def plain_lines(text: bytes) -> list[list[bytes]]:
     """The words of each line."""
     return [line.translate(_ALPHANUMERIC).split() for line in text.split(b"\n")]

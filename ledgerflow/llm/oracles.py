@@ -79,4 +79,53 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base,
 from worded left join base using (doc_id) left join labelled using (doc_id) left join scored using (doc_id)
 """
 
-ORACLES = {"op1_ngram_join": OP1, "op3_decontamination": OP3, "op7_licenses": OP7}
+OP11 = """
+with payloads as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+digests as (
+  select page_id, body, hex,
+    array_to_string(list_transform(string_split(hex, ''), lambda x:
+      lpad(bin(instr('0123456789abcdef', x) - 1), 4, '0')), '') as bits
+  from payloads),
+named as (
+  select page_id, hex, octet_length(encode(body)) as payload_bytes,
+    array_to_string(list_transform(range(0, 160, 5), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(
+        16 * cast(bits[i + 1] as int) + 8 * cast(bits[i + 2] as int) + 4 * cast(bits[i + 3] as int)
+        + 2 * cast(bits[i + 4] as int) + cast(bits[i + 5] as int) + 1 as int), 1)), '') as payload_digest
+  from digests),
+placed as (select *, max(page_id) over (partition by hex) as response from named)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = response then 'response' else 'revisit' end as record_type,
+  case when page_id <> response then response end as refers_to
+from placed
+"""
+
+OP12 = """
+with hashed as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+drawn as (
+  select *, cast('0x' || substr(h, 1, 8) as ubigint) % (n + 1) as a, cast('0x' || substr(h, 9, 8) as ubigint) % (n + 1) as b,
+    cast('0x' || substr(h, 17, 8) as ubigint) % 100 as kept, cast('0x' || substr(h, 25, 8) as ubigint) % 100 as swapped
+  from hashed),
+formed as (
+  select *, least(a, b) as x, greatest(a, b) as y,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or kept >= 90 then 'plain'
+      when swapped < 20 then 'spm' else 'psm' end as form
+  from drawn),
+cut as (
+  select *, t[:x] as prefix, t[x + 1:y] as middle, t[y + 1:] as suffix from formed)
+select doc_id, n, form, case when form <> 'plain' then cast(x as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(y - x as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from cut
+"""
+
+ORACLES = {
+    "op1_ngram_join": OP1,
+    "op3_decontamination": OP3,
+    "op7_licenses": OP7,
+    "op11_warc": OP11,
+    "op12_fill_in_middle": OP12,
+}

@@ -1,7 +1,7 @@
 """The operators over their whole tables, each as a named query.
 
-None has SQL: signatures, tokenizers, trained models, suffix arrays and digests of spans
-can't be written in it. The tests hold each against a brute-force version.
+`oracles` has SQL for those that SQL can express. Signatures of paragraphs, tokenizers, trained
+models, digests of spans and CRCs can't be written in it; the tests hold those against brute-force versions.
 """
 
 from __future__ import annotations
@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm import (
     decontaminate,
+    fill_in_middle,
     html_text,
     licenses,
     neighbours,
     ngram_join,
     packing,
     paragraph_dedup,
+    resampling,
     secrets,
     token_counts,
     toxicity,
+    warc,
 )
 from ledgerflow.llm.common import read_table
 
@@ -70,6 +73,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(read_table(spark, sf_dir, "documents")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     function.__name__: function
     for function in (
@@ -83,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_html_text,
         op10_neighbours,
+        op11_warc,
+        op12_fill_in_middle,
+        op13_resampling,
     )
 }

@@ -78,7 +78,7 @@ def test_toxic_stage_keeps_clean_documents(spark, folder_of_tables):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_sql(spark, name):
     database = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "pages"):
         database.execute(f"create view {table} as select * from read_parquet('{SMALL}/{table}.parquet')")
     wanted = database.execute(oracles.ORACLES[name])
     columns = [c[0] for c in wanted.description]
