@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Stretches a range is cut into at most, to look for gaps in each by itself.
+STRETCHES = 10_000
+
 
 @dataclass(frozen=True)
 class CheckpointRange:
@@ -57,6 +60,31 @@ def missing_checkpoints(present: DataFrame, wanted: CheckpointRange, column: str
     return members(present.sparkSession, wanted).join(seen, "checkpoint_sequence", "left_anti")
 
 
+def missing_intervals(present: DataFrame, wanted: CheckpointRange, column: str = "checkpoint_sequence") -> DataFrame:
+    """The gaps of `missing_checkpoints` as (start, end, length), one row for each, however long it is.
+
+    Only checkpoints that are there are looked at: the range is cut into stretches, a gap
+    within a stretch lies between two neighbours in it, and one across stretches between the
+    last checkpoint of one and the first of the next that has any.
+    """
+    size = -(-len(wanted) // STRETCHES)
+    at = F.col(column).cast("bigint")
+    inside = present.where(at.between(wanted.start, wanted.end)).select(at.alias("at")).distinct()
+    stretched = inside.withColumn("stretch", F.floor((F.col("at") - wanted.start) / size))
+    following = F.lead("at").over(Window.partitionBy("stretch").orderBy("at"))
+    within = stretched.select("at", following.alias("next"))
+    # One row a stretch, at most STRETCHES, and the two ends of the range.
+    ends = present.sparkSession.createDataFrame(
+        [(wanted.start - 1, wanted.start - 1), (wanted.end + 1, wanted.end + 1)], "first bigint, last bigint"
+    )
+    edges = stretched.groupBy("stretch").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("stretch").union(ends)
+    between = edges.select(F.col("last").alias("at"), F.lead("first").over(Window.orderBy("first")).alias("next"))
+    gaps = within.union(between).where(F.col("next") - F.col("at") > 1)
+    return gaps.select(
+        (F.col("at") + 1).alias("start"), (F.col("next") - 1).alias("end"), (F.col("next") - F.col("at") - 1).alias("length")
+    )
+
+
 def next_checkpoint(latest: DataFrame) -> DataFrame:
     """The checkpoint to do next, from the row of `latest_progress`: 0 when nothing is done."""
     following = F.coalesce(F.col("latest_checkpoint") + 1, F.lit(0).cast("bigint"))

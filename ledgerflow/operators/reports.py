@@ -13,6 +13,7 @@ from ledgerflow.operators.transactions import gas_used
 AsOf = datetime | int | None
 
 STATS_KEY = ["date", "package_id", "module_name", "event_type"]
+SENDER, TRANSACTION = "sender", "transaction"
 
 
 def stats_by_type(events: DataFrame, type_column: str = "type_name") -> DataFrame:
@@ -25,37 +26,63 @@ def daily_event_stats(
 ) -> DataFrame:
     """Daily rollup per package, module and type: events, distinct senders, gas.
 
-    Gas is that of the distinct transactions in a group, 0 where unknown. The two
-    measures are computed apart and added up, because a transaction joins to many
-    events. Both spread a group that holds much of the data: the first counts per
-    (group, sender) before it shuffles, the second keeps one row per (group,
-    transaction). `approximate` replaces the exact sender count by a sketch.
+    Gas is that of the distinct transactions in a group, 0 where unknown. Events are read
+    once and become counts per (group, sender) and per (group, transaction) before
+    anything is shuffled, which spreads a group that holds much of the data and needs
+    no distinct count. `approximate` replaces the exact sender count by a sketch.
     """
-    keyed = events.select(
-        F.to_date(event_time("timestamp_ms", as_of)).alias("date"),
-        "package_id",
-        F.col("type_module").alias("module_name"),
-        F.col("type_name").alias("event_type"),
-        "sender",
-        "transaction_digest",
+    return stats_of_pairs(daily_pairs(events, as_of=as_of), transactions, approximate=approximate)
+
+
+def daily_pairs(events: DataFrame, *, as_of: AsOf = None) -> DataFrame:
+    """Numbers of events per group and sender, and per group and transaction; `kind` tells which `member` is."""
+    members = F.array(
+        F.struct(F.lit(SENDER).alias("kind"), F.col("sender").alias("member")),
+        F.struct(F.lit(TRANSACTION).alias("kind"), F.col("transaction_digest").alias("member")),
     )
-    senders = F.approx_count_distinct("sender") if approximate else F.countDistinct("sender")
-    counts = keyed.groupBy(*STATS_KEY).agg(F.count("*").alias("event_count"), senders.alias("unique_senders"))
-    zero = F.lit(0).cast("bigint")
-    if transactions is None:
-        return counts.withColumn("total_gas_used", zero)
-    gas = (
-        keyed.select(*STATS_KEY, "transaction_digest")
-        .distinct()
-        .join(_gas_by_digest(transactions), "transaction_digest")
-        .groupBy(*STATS_KEY)
-        .agg(F.sum("gas").alias("total_gas_used"))
+    return (
+        events.select(
+            F.to_date(event_time("timestamp_ms", as_of)).alias("date"),
+            "package_id",
+            F.col("type_module").alias("module_name"),
+            F.col("type_name").alias("event_type"),
+            F.explode(members).alias("m"),
+        )
+        .groupBy(*STATS_KEY, "m.kind", "m.member")
+        .agg(F.count("*").alias("n"))
     )
-    both = counts.withColumn("total_gas_used", zero).unionByName(
-        gas.select(*STATS_KEY, zero.alias("event_count"), zero.alias("unique_senders"), "total_gas_used")
+
+
+def merge_pairs(pairs: DataFrame) -> DataFrame:
+    """One row for each key of several sets of `daily_pairs`."""
+    return pairs.groupBy(*STATS_KEY, "kind", "member").agg(F.sum("n").alias("n"))
+
+
+def stats_of_pairs(pairs: DataFrame, transactions: DataFrame | None = None, *, approximate: bool = False) -> DataFrame:
+    """`daily_event_stats` from merged pairs."""
+    by_sender, zero = F.col("kind") == SENDER, F.lit(0).cast("bigint")
+    if transactions is None:
+        pairs, gas = pairs.where(by_sender), zero
+    else:
+        # The kind is part of the key, so that senders are spread and match nothing.
+        known = _gas_by_digest(transactions).select(F.lit(TRANSACTION).alias("kind"), F.col("transaction_digest").alias("member"), "gas")
+        pairs, gas = pairs.join(known, ["kind", "member"], "left"), F.coalesce(F.sum("gas"), zero)
+    sender = F.when(by_sender, F.col("member"))
+    # A sender is one row of its group, so rows are counted, not distinct values.
+    senders = F.hll_sketch_estimate(F.hll_sketch_agg(sender)) if approximate else F.count(sender)
+    return pairs.groupBy(*STATS_KEY).agg(
+        F.sum(F.when(by_sender, F.col("n"))).alias("event_count"), senders.alias("unique_senders"), gas.alias("total_gas_used")
     )
-    measures = ("event_count", "unique_senders", "total_gas_used")
-    return both.groupBy(*STATS_KEY).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def daily_sketches(pairs: DataFrame) -> DataFrame:
+    """Events of each group, and a sketch of its senders, from its pairs."""
+    by_sender = pairs.where(F.col("kind") == SENDER)
+    return by_sender.groupBy(*STATS_KEY).agg(F.sum("n").alias("n"), F.hll_sketch_agg("member").alias("senders"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy(*STATS_KEY).agg(F.sum("n").alias("n"), F.hll_union_agg("senders").alias("senders"))
 
 
 def _gas_by_digest(transactions: DataFrame) -> DataFrame:
@@ -118,6 +145,16 @@ def latest_progress(progress: DataFrame) -> DataFrame:
     )
 
 
+def progress_by_source(source_progress: DataFrame) -> DataFrame:
+    """Per source: records of its batches, each counted once however often it was noted, and its newest checkpoint."""
+    once = source_progress.groupBy("source", "run_id", "batch_id").agg(
+        F.max_by("records", "updated_at").alias("records"), F.max("checkpoint_sequence").alias("checkpoint_sequence")
+    )
+    return once.groupBy("source").agg(
+        _long_sum("records").alias("records"), F.max("checkpoint_sequence").alias("latest_checkpoint")
+    )
+
+
 def checkpoint_stats(progress: DataFrame, *, target: int | Column | None) -> DataFrame:
     """One row: checkpoints done, rate per whole second, and time left in whole seconds.
 

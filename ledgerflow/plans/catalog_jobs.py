@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow import fixed_values as fixed
 from ledgerflow import schemas
+from ledgerflow.functions.times import event_time
 from ledgerflow.operators import enrich, filters, outcomes, ranges, reports, rules, transactions
 from ledgerflow.plans.catalog import (
     _RULE_SQL,
     _SHOWN,
     _SHOWN_SQL,
+    _DAILY_SQL,
     AS_OF,
     _drain,
     _event_stream,
     _joined,
     _millis,
     _some_rules,
+    _stats,
     _with_outcomes,
     query,
 )
-from ledgerflow.plans.pipeline import Pipeline, fan_out
+from ledgerflow.plans.pipeline import Pipeline, fan_out, keep_running
 from ledgerflow.session import scratch_folder
+from ledgerflow.sinks.rollup import DailyRollup
 from ledgerflow.sinks.store import Store
-from ledgerflow.sources import readers
+from ledgerflow.sinks.zones import Zones
+from ledgerflow.sources import checkpoints, readers
+from ledgerflow.sources.paging import PAGE_KEY
 from ledgerflow.sources.tables import chain_checkpoints, chain_events, chain_transactions
+from ledgerflow.streaming.streams import close_counts, joined_transactions, kept_counts, running_type_counts
 
 _KEY = ("transaction_digest", "event_seq")
 
@@ -179,6 +186,276 @@ def ledger_skip(spark: SparkSession, folder: str) -> DataFrame:
     return store.not_yet_processed(marked).select(*_KEY)
 
 
+@query(
+    """
+, parts as (select unnest([1, 2, 3, 4]) as part)
+select part, count(*) filter (where part > 2 or event_id % (6 - 2 * part) = 0) as received,
+  count(*) filter (where case part when 1 then event_id % 4 = 0 when 2 then event_id % 4 = 2 when 3 then event_id % 2 = 1 else false end) as written
+from chain_events, parts group by part
+"""
+)
+def append_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Appends that overlap with what is stored, and what the index lets through of each."""
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=1000)
+    rows = chain_events(spark, folder)
+    done = enrich.enrich_events(rows, as_of=AS_OF, extract_fields=False, include_source=False)
+    keyed = done.join(rows.select(*_KEY, "event_id"), list(_KEY)).withColumn("bucket", F.col("event_id") % 4)
+    results = []
+    for part, where in enumerate(("bucket = 0", "bucket in (0, 2)", "true", "true"), 1):
+        found = store.append_events(keyed.where(where).drop("event_id", "bucket"))
+        results.append((part, found.received, found.written))
+    return spark.createDataFrame(results, "part int, received long, written long")
+
+
+def _split(frame: DataFrame, purpose: str, parts: int) -> str:
+    """The frame as so many files, which a stream takes one by one."""
+    folder = scratch_folder(frame.sparkSession, purpose)
+    frame.repartition(parts).write.parquet(folder)
+    return folder
+
+
+def _files(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _two_sources(spark: SparkSession, folder: str) -> Store:
+    """Events and transactions in one stream that fails at its second batch and is started again."""
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=1000)
+    event_files = _split(_source_events(spark, folder), "event-files", 3)
+    transaction_files = _split(chain_transactions(spark, folder), "transaction-files", 2)
+    state, failures = scratch_folder(spark, "state"), [RuntimeError("sink is down")]
+
+    def sink(processed: DataFrame, batch_id: int) -> None:
+        if batch_id and failures:
+            raise failures.pop()
+
+    def start():
+        return Pipeline().run_stream(
+            readers.stream_events(spark, event_files, max_files_per_trigger=1),
+            store,
+            state,
+            transactions=_files(spark, transaction_files, schemas.TRANSACTIONS),
+            sinks=[sink],
+            interval=None,
+            as_of=AS_OF,
+        )
+
+    keep_running(start, restarts=1, pause_seconds=0.0)
+    return store
+
+
+@query(
+    """
+select 'event' as kind, concat(transaction_digest, ':', event_seq) as name, checkpoint_sequence from ok where j is not null
+union all select 'transaction', digest, checkpoint_sequence from chain_transactions
+"""
+)
+def stream_two_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What is stored of both sources after the restart."""
+    store = _two_sources(spark, folder)
+    name = F.concat_ws(":", "transaction_digest", "event_seq")
+    events = store.processed_events().select(F.lit("event").alias("kind"), name.alias("name"), "checkpoint_sequence")
+    found = store.processed_transactions().select(F.lit("transaction"), "digest", "checkpoint_sequence")
+    return events.union(found)
+
+
+@query(
+    """
+select 'events' as source, count(*) as records, max(checkpoint_sequence) as latest_checkpoint from chain_events
+union all select 'transactions', count(*), max(checkpoint_sequence) from chain_transactions
+"""
+)
+def source_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Progress per source of that stream; the batch that ran twice counts once."""
+    return reports.progress_by_source(_two_sources(spark, folder).source_progress())
+
+
+@query("select checkpoint_sequence, count(*) as events from chain_events where checkpoint_sequence >= 3 group by 1")
+def stream_by_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream whose offsets are checkpoints: from the third on, a third of them in each run, until the head is reached."""
+    checkpoints.register(spark)
+    events = _source_events(spark, folder)
+    files = _split(events, "event-files", 4)
+    head = events.agg(F.max("checkpoint_sequence")).first()[0]
+    root = scratch_folder(spark, "by-checkpoint")
+    options = {"path": files, "start": 3, "step": head // 3 + 1}
+    for _ in range(3):
+        stream = spark.readStream.format("checkpoints").options(**options).load().select("checkpoint_sequence")
+        writer = stream.writeStream.format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{root}/data")
+    return rows.groupBy("checkpoint_sequence").agg(F.count("*").alias("events"))
+
+
+@query(
+    """
+select sink, transaction_digest, event_seq, 1 as times from ok, (select unnest(['steady', 'failing']) as sink) where j is not null
+"""
+)
+def sinks_take_once(spark: SparkSession, folder: str) -> DataFrame:
+    """One of two named sinks fails at its first batch; the other gets no event twice when the batch is repeated."""
+    root = scratch_folder(spark, "sinks")
+    failures = [RuntimeError("sink is down")]
+
+    def steady(processed: DataFrame, batch_id: int) -> None:
+        processed.select(*_KEY).write.mode("append").parquet(f"{root}/steady")
+
+    def failing(processed: DataFrame, batch_id: int) -> None:
+        if failures:
+            raise failures.pop()
+        processed.select(*_KEY).write.mode("append").parquet(f"{root}/failing")
+
+    files = _split(_source_events(spark, folder), "event-files", 2)
+    store = Store(spark, f"{root}/store", bucket_size=1000)
+
+    def start():
+        stream = readers.stream_events(spark, files, max_files_per_trigger=1)
+        sinks = {"steady": steady, "failing": failing}
+        return Pipeline().run_stream(stream, store, f"{root}/state", sinks=sinks, interval=None, as_of=AS_OF)
+
+    keep_running(start, restarts=1, pause_seconds=0.0)
+    taken = [spark.read.parquet(f"{root}/{name}").withColumn("sink", F.lit(name)) for name in ("steady", "failing")]
+    return taken[0].unionByName(taken[1]).groupBy("sink", *_KEY).agg(F.count("*").alias("times"))
+
+
+@query(
+    """
+select cast(epoch_ms(cast(day as timestamp)) as bigint) as window_start, type_name as event_type, count(*) as event_count
+from ok group by 1, 2
+"""
+)
+def stream_counts_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts over a restart: closed days from files, open ones from the state of the stream."""
+    root = scratch_folder(spark, "counts")
+    events = _source_events(spark, folder)
+    # Days come in order, so that those of the first half close in the second.
+    middle = events.agg(F.percentile_approx(_event_ms(), 0.5)).first()[0]
+    for part in (events.where(_event_ms() < middle), events.where(_event_ms() >= middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/events")
+        stream = _files(spark, f"{root}/events", schemas.EVENTS)
+        counts = running_type_counts(stream, as_of=AS_OF)
+        close_counts(counts, f"{root}/closed", f"{root}/state").awaitTermination()
+    found = kept_counts(spark, f"{root}/closed", f"{root}/state")
+    return found.select(_millis("window_start").alias("window_start"), "event_type", "event_count")
+
+
+def _event_ms():
+    return F.unix_millis(event_time("timestamp_ms", AS_OF))
+
+
+@query(_DAILY_SQL.format(source="ok"))
+def event_stats_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily statistics kept by batches, one of which comes twice and some of which bring late events."""
+    rollup = DailyRollup(spark, scratch_folder(spark, "rollup"))
+    events = chain_events(spark, folder)
+    for batch, part in enumerate((0, 2, 1, 1)):
+        rollup.add(min(batch, 2), events.where(F.col("event_id") % 3 == part), as_of=AS_OF)
+    return _stats(rollup.stats(chain_transactions(spark, folder)))
+
+
+_PLACES_SQL = """
+select checkpoint_sequence, transaction_digest, event_seq, type_name as event_type, direction, position
+from (
+  select *, row_number() over (order by checkpoint_sequence, transaction_digest, event_seq) as position, 'up' as direction from ok where j is not null
+  union all
+  select *, row_number() over (order by checkpoint_sequence desc, transaction_digest desc, event_seq desc), 'down' from ok where j is not null)
+where position <= 150
+"""
+
+
+@query(_PLACES_SQL)
+def pages_by_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """Three pages of 50 stored events up from the first and down from the last, from the files they lie in."""
+    zones = Zones(_stored_chain(spark, folder))
+    found = []
+    for direction in ("up", "down"):
+        cursor = None
+        for number in range(3):
+            page = zones.page(cursor=cursor, limit=50, descending=direction == "down")
+            path, cursor = scratch_folder(spark, "page"), page.next_cursor
+            order = [F.col(c).desc() if direction == "down" else F.col(c).asc() for c in PAGE_KEY]
+            place = F.row_number().over(Window.orderBy(*order)) + 50 * number
+            rows = page.data.select(*PAGE_KEY, "event_type", F.lit(direction).alias("direction"), place.cast("bigint").alias("position"))
+            rows.write.parquet(path)
+            found.append(path)
+    return spark.read.parquet(*found)
+
+
+@query(
+    """
+select checkpoint_sequence, transaction_digest, event_seq, type_name as event_type from ok
+where j is not null and transaction_digest = (select max(transaction_digest) from ok where j is not null)
+"""
+)
+def page_of_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored events of one transaction, by a digest that names its files."""
+    store = _stored_chain(spark, folder)
+    digest = store.processed_events().agg(F.max("transaction_digest")).first()[0]
+    return Zones(store).page(transaction_digest=digest).data.select(*PAGE_KEY, "event_type")
+
+
+def _stored_chain(spark: SparkSession, folder: str) -> Store:
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=20)
+    Pipeline().run_batch(chain_events(spark, folder), store, as_of=AS_OF)
+    return store
+
+
+@query(
+    """
+, first_times as (select transaction_digest as digest, min(time_ms) as tx_ms from ok group by 1)
+select digest, event_seq, tx_ms, time_ms as event_ms
+from first_times join chain_transactions using (digest) join ok on transaction_digest = digest
+where time_ms <= tx_ms + 21600000
+"""
+)
+def stream_transactions_with_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Streams of transactions and events, joined as they arrive; stopped half-way and started again.
+
+    A transaction has the time of its first event here. Nothing is late, as the watermark waits.
+    """
+    events = _source_events(spark, folder)
+    time = F.unix_millis(event_time("timestamp_ms", AS_OF))
+    first = events.groupBy(F.col("transaction_digest").alias("digest")).agg(F.min(time).alias("timestamp_ms"))
+    found = chain_transactions(spark, folder).drop("timestamp_ms").join(first, "digest").select(*schemas.TRANSACTIONS.fieldNames())
+    root = scratch_folder(spark, "joined")
+    for half in range(2):
+        events.where(F.col("event_seq") % 2 == half).write.mode("append").parquet(f"{root}/events")
+        found.where(F.col("checkpoint_sequence") % 2 == half).write.mode("append").parquet(f"{root}/transactions")
+        joined = joined_transactions(
+            _files(spark, f"{root}/transactions", schemas.TRANSACTIONS),
+            _files(spark, f"{root}/events", schemas.EVENTS),
+            within="6 hours",
+            as_of=AS_OF,
+            delay="3650 days",
+        )
+        rows = joined.select(
+            F.col("tx_digest").alias("digest"), "event_seq", _millis("tx_time").alias("tx_ms"), _millis("event_time").alias("event_ms")
+        )
+        writer = rows.writeStream.format("parquet").option("path", f"{root}/data").option("checkpointLocation", f"{root}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/data")
+
+
+@query(
+    """
+select 'stored' as kind, transaction_digest, event_seq from ok where j is not null and event_id % 5 > 0
+union all select case when j is null then 'error' else 'success' end, transaction_digest, event_seq from ok
+"""
+)
+def stream_ledger_skip(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream that gets everything twice; the stored ledger lists every fifth event as done before it starts."""
+    store = Store(spark, scratch_folder(spark, "store"), bucket_size=1000)
+    decided = outcomes.event_outcomes(chain_events(spark, folder)).where("event_id % 5 = 0 and outcome = 'success'")
+    store.append_event_ledger(decided, AS_OF)
+    files = scratch_folder(spark, "event-files")
+    for _ in range(2):
+        _source_events(spark, folder).coalesce(1).write.mode("append").parquet(files)
+    stream = readers.stream_events(spark, files, max_files_per_trigger=1)
+    Pipeline(ledger=True).run_stream(stream, store, scratch_folder(spark, "state"), interval=None, as_of=AS_OF).awaitTermination()
+    listed = store.event_ledger().select(F.col("status").alias("kind"), "transaction_digest", F.col("event_sequence").alias("event_seq"))
+    return store.processed_events().select(F.lit("stored").alias("kind"), *_KEY).union(listed)
+
+
 def _outcomes_of(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerflow.plans.catalog import QUERIES  # the same rules as the query "outcomes"
 
@@ -407,6 +684,22 @@ def fields_overwritten(spark: SparkSession, folder: str) -> DataFrame:
 # --- planning ---------------------------------------------------------------
 
 
+@query(
+    """
+, points as (
+  select distinct checkpoint_sequence * 1000 as place from effects where success
+  union select -1 union select 1000000001),
+following as (select place, lead(place) over (order by place) as further from points)
+select place + 1 as "start", further - 1 as "end", further - place - 1 as length from following where further - place > 1
+"""
+)
+def gap_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps of a range of a billion checkpoints, of which every thousandth may be there."""
+    found = chain_transactions(spark, folder).where(transactions.succeeded_flag())
+    spread = found.select((F.col("checkpoint_sequence") * 1000).alias("checkpoint_sequence"))
+    return ranges.missing_intervals(spread, ranges.CheckpointRange(0, 1_000_000_000))
+
+
 @query("select done + 1 as next_checkpoint from ends")
 def next_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     """The checkpoint behind the one that a run has noted as done."""

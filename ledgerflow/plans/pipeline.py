@@ -1,7 +1,8 @@
 """The event job, in batches and as a stream.
 
-Source, filter, enrichment and write form one narrow stage up to the keyed append;
-nothing is shuffled before that.
+The source is read once: filter and outcomes are one narrow stage that writes the decided
+records to an intermediate table and counts them on the way. Keys, quarantine and enrichment
+read that table; nothing is shuffled before the keyed append.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import inspect
 import logging
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark import StorageLevel
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,18 +26,17 @@ from ledgerflow.fixed_values import POLL_INTERVAL
 from ledgerflow.functions.times import run_time
 from ledgerflow.operators import outcomes as oc
 from ledgerflow.operators.enrich import enrich_events
-from ledgerflow.operators.filters import filter_events
+from ledgerflow.operators.filters import filter_events, joins
 from ledgerflow.operators.ranges import start_checkpoint
 from ledgerflow.operators.rules import Rule
 from ledgerflow.operators.transactions import project_transactions
-from ledgerflow.sinks.store import Extent, Store
+from ledgerflow.sinks.files import drop_folder
+from ledgerflow.sinks.store import Store
 from ledgerflow.sources.readers import from_checkpoint
+from ledgerflow.streaming.ledger import REMEMBER, skip_done, state_store
 
 log = logging.getLogger(__name__)
 
-# A hash as text, and the row around it.
-QUARANTINE_KEY_BYTES = 80
-
 # A sink gets the processed events of a batch and the batch's number.
 Sink = Callable[[DataFrame, int], None]
 
@@ -58,7 +59,8 @@ class Pipeline:
     """Rules, then a processor, then sinks.
 
     The processor turns events into processed events; the default enriches them in
-    full. It gets the run's time by keyword if it takes `as_of`.
+    full. It gets the run's time by keyword if it takes `as_of`. With `ledger` events that
+    the store's ledger lists as done are skipped, and what becomes of the others is noted there.
     """
 
     rules: Sequence[Rule] | DataFrame = ()
@@ -67,6 +69,7 @@ class Pipeline:
     type_match: str = "auto"
     label_rules: bool = True
     index_transactions: bool = True
+    ledger: bool = False
 
     def process(self, events: DataFrame, as_of: datetime | int | None = None) -> DataFrame:
         """Filter, then transform: the job without outcomes and storage."""
@@ -100,8 +103,9 @@ class Pipeline:
             begin_transactions = start_checkpoint(start, _following(store.last_transaction_checkpoint()), reset=reset)
         if transactions is not None:
             transactions = from_checkpoint(transactions, begin_transactions)
+        events = from_checkpoint(events, begin)
         return self._run(
-            from_checkpoint(events, begin),
+            self.outcomes(store.not_yet_processed(events) if self.ledger else events),
             store,
             transactions,
             as_of=as_of,
@@ -117,34 +121,64 @@ class Pipeline:
         store: Store,
         checkpoint_folder: str,
         *,
-        sinks: Sequence[Sink] = (),
+        transactions: DataFrame | None = None,
+        sinks: Sequence[Sink] | Mapping[str, Sink] = (),
         interval: str | None = POLL_INTERVAL,
         as_of: datetime | int | None = None,
         scope: str = "checkpoint",
+        remember: timedelta = REMEMBER,
     ) -> StreamingQuery:
         """Start the stream; with `interval` None it stops when all present data is done.
 
         The new events of a micro-batch are processed once, cached, and go to every
         sink and then to the store. A batch that is repeated after a failure changes
-        nothing in the store; sinks get its number to recognise it by.
+        nothing in the store. Sinks get its number to recognise it by; of sinks given by name the
+        store keeps which batches they took, and a repeated batch goes only to those that lack
+        it. One stream at a time may use the names of a store.
+
+        `transactions` is a second streaming source. One query reads both, so that one
+        checkpoint has the place reached in each, and a restart goes on from both. With a
+        ledger, keys of done events are state that starts from the stored ledger and is
+        kept for `remember`; rules must then be few enough to need no join.
         """
+        stream, decided = events, False
+        if self.ledger:
+            if joins(self.rules):
+                raise ValueError("a stream with a ledger takes a short list of rules")
+            listed = store.event_ledger()
+            stream, decided = skip_done(self.outcomes(events), listed, remember=remember), True
+        if transactions is not None and self.index_transactions:
+            stream = _tagged(stream, transactions)
+        else:
+            transactions = None
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            self._run(
-                batch,
-                store,
-                None,
-                as_of=as_of,
-                run_id=checkpoint_folder,
-                batch_id=batch_id,
-                scope=scope,
-                sinks=sinks,
-                cache=True,
-            )
+            folder = store.work_folder("batch")
+            try:
+                found = None
+                if decided or transactions is not None:
+                    # State and sources are gone through once; all that follows reads this table.
+                    batch = _written(batch, folder)
+                if transactions is not None:
+                    batch, found = (batch.where(f"{part} is not null").select(f"{part}.*") for part in (_EVENT, _TRANSACTION))
+                self._run(
+                    batch if decided else self.outcomes(batch),
+                    store,
+                    found,
+                    as_of=as_of,
+                    run_id=checkpoint_folder,
+                    batch_id=batch_id,
+                    scope=scope,
+                    sinks=sinks,
+                    staged=decided,
+                )
+            finally:
+                drop_folder(folder)
 
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
-        writer = events.writeStream.option("checkpointLocation", checkpoint_folder).trigger(**trigger)
-        return writer.foreachBatch(handle).start()
+        writer = stream.writeStream.option("checkpointLocation", checkpoint_folder).trigger(**trigger)
+        with state_store(store.spark) if decided else nullcontext():
+            return writer.foreachBatch(handle).start()
 
     def outcomes(self, events: DataFrame) -> DataFrame:
         """Events with their outcome, and the labels of the matching rules if wanted."""
@@ -156,7 +190,7 @@ class Pipeline:
 
     def _run(
         self,
-        events: DataFrame,
+        decided: DataFrame,
         store: Store,
         transactions: DataFrame | None,
         *,
@@ -164,46 +198,49 @@ class Pipeline:
         run_id: str,
         batch_id: int,
         scope: str,
-        sinks: Sequence[Sink] = (),
-        cache: bool = False,
+        sinks: Sequence[Sink] | Mapping[str, Sink] = (),
         reset: bool = False,
+        staged: bool = False,
     ) -> Report:
+        """One batch of events with their outcomes, `staged` if they are a table already."""
         as_of = run_time(as_of)
         started = datetime.now(timezone.utc)
-        decided = self.outcomes(events)
-        held = [decided.persist(StorageLevel.MEMORY_AND_DISK)] if cache else []
+        folder, held = store.work_folder("decided"), []
         try:
-            counts = _counts(decided)
-            first, last = counts["first"] or 0, counts["last"] or 0
-            # Quarantine costs a pass over the input, so it is left out when nothing failed.
+            if staged:
+                counts = decided.agg(*_measures()).first().asDict()
+            else:
+                decided, counts = _counted(decided, folder)
             if counts["errors"]:
-                bad = Extent(counts["errors"], first, last, counts["errors"] * QUARANTINE_KEY_BYTES)
-                store.append_quarantine(oc.quarantine(decided, as_of), scope=scope, extent=bad)
+                store.append_quarantine(oc.quarantine(decided, as_of), scope=scope)
             clock = time.monotonic()
             n_events = 0
             if counts["succeeded"]:
-                extent = Extent(counts["succeeded"], first, last, counts["key_bytes"] or 0)
-                processed = self._transform(store.new_events(oc.succeeded(decided), scope=scope, extent=extent), as_of)
+                claim = store.new_events(oc.succeeded(decided), scope=scope)
+                processed = self._transform(claim.rows, as_of)
                 if sinks:
                     held.append(processed.persist(StorageLevel.MEMORY_AND_DISK))
                 # The store comes last: once it has the events they are not new any more,
                 # and a repeated batch would not bring them to a sink that failed.
-                for sink in sinks:
+                for name, sink in _named(sinks):
+                    # Sinks that have a name and took this batch before it failed don't get it again.
+                    if name and store.has_delivery(name, run_id=run_id, batch_id=batch_id, sinks=len(sinks)):
+                        continue
                     sink(processed, batch_id)
-                n_events = store.append_new_events(processed)
+                    if name:
+                        store.save_delivery(name, run_id=run_id, batch_id=batch_id, as_of=as_of)
+                n_events = store.append_new_events(processed) if claim.new else 0
+            if self.ledger and counts["after_filter"]:
+                store.append_event_ledger(decided.where(F.col("outcome") != oc.FILTERED), as_of)
             event_ms = _ms_since(clock)
         finally:
             for frame in held:
                 frame.unpersist()
+            drop_folder(folder)
         clock = time.monotonic()
-        n_transactions = 0
+        n_transactions, tx = 0, None
         if transactions is not None and self.index_transactions:
-            marked = oc.transaction_outcomes(transactions, on_error=self.on_error)
-            store.append_quarantine(oc.quarantine(marked, as_of), scope=scope)
-            usable = marked.where(F.col("outcome") != oc.ERROR).drop("outcome", "reason")
-            n_transactions = store.append_transactions(
-                project_transactions(usable, as_of=as_of), scope=scope
-            ).written
+            tx, n_transactions = self._run_transactions(transactions, store, as_of, scope)
         transaction_ms = _ms_since(clock)
         store.log_batch(
             run_id=run_id,
@@ -219,6 +256,9 @@ class Pipeline:
             finished_at=datetime.now(timezone.utc),
         )
         # Progress comes last: it says that all of the above is stored.
+        for source, found in (("events", counts), ("transactions", tx)):
+            if found and found["received"]:
+                store.save_source_progress(source, run_id=run_id, batch_id=batch_id, records=found["received"], checkpoint=found["last"], as_of=as_of)
         if counts["received"]:
             store.save_progress(max(counts["last"], 0 if reset else store.last_processed_checkpoint()), as_of=as_of, batch_id=batch_id, reset=reset)
         return Report(
@@ -231,6 +271,20 @@ class Pipeline:
             counts["last"],
         )
 
+    def _run_transactions(self, transactions: DataFrame, store: Store, as_of: datetime, scope: str) -> tuple[dict, int]:
+        """The numbers of a batch of transactions, and how many were stored."""
+        folder = store.work_folder("decided")
+        try:
+            marked, counts = _counted(oc.transaction_outcomes(transactions, on_error=self.on_error), folder)
+            if counts["errors"]:
+                store.append_quarantine(oc.quarantine(marked, as_of), scope=scope)
+            if counts["received"] == counts["errors"]:
+                return counts, 0
+            usable = marked.where(F.col("outcome") != oc.ERROR).drop("outcome", "reason")
+            return counts, store.append_transactions(project_transactions(usable, as_of=as_of), scope=scope).written
+        finally:
+            drop_folder(folder)
+
     def _transform(self, events: DataFrame, as_of: datetime | int | None) -> DataFrame:
         takes_time = "as_of" in inspect.signature(self.processor).parameters
         return self.processor(events, as_of=as_of) if takes_time else self.processor(events)
@@ -246,6 +300,10 @@ def fan_out(*sinks: Sink) -> Sink:
     return write
 
 
+def _named(sinks: Sequence[Sink] | Mapping[str, Sink]) -> list[tuple[str | None, Sink]]:
+    return list(sinks.items()) if isinstance(sinks, Mapping) else [(None, sink) for sink in sinks]
+
+
 def keep_running(start: Callable[[], StreamingQuery], *, restarts: int, pause_seconds: float = 10.0) -> None:
     """Run a stream and start it again from its checkpoint when it fails, up to `restarts` times."""
     for attempt in range(restarts + 1):
@@ -259,20 +317,37 @@ def keep_running(start: Callable[[], StreamingQuery], *, restarts: int, pause_se
             time.sleep(pause_seconds)
 
 
-def _counts(decided: DataFrame) -> dict:
-    good = F.col("outcome") == oc.SUCCESS
-    key_bytes = F.octet_length("transaction_digest") + 32
-    row = decided.agg(
+_EVENT, _TRANSACTION = "_event", "_transaction"
+
+
+def _tagged(events: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Two sources as one, each record in the column of its kind."""
+    event, transaction = F.struct(*events.columns), F.struct(*transactions.columns)
+    kinds = (events.select(event.alias("x")).schema["x"].dataType, transactions.select(transaction.alias("x")).schema["x"].dataType)
+    left = events.select(event.alias(_EVENT), F.lit(None).cast(kinds[1]).alias(_TRANSACTION))
+    return left.unionByName(transactions.select(F.lit(None).cast(kinds[0]).alias(_EVENT), transaction.alias(_TRANSACTION)))
+
+
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _measures() -> list[Column]:
+    return [
         F.count("*").alias("received"),
         F.count_if(F.col("outcome") != oc.FILTERED).alias("after_filter"),
-        F.count_if(good).alias("succeeded"),
+        F.count_if(F.col("outcome") == oc.SUCCESS).alias("succeeded"),
         F.count_if(F.col("outcome") == oc.ERROR).alias("errors"),
         # As the store does it: an unknown checkpoint is 0 and lies in the first bucket.
-        F.min(F.coalesce("checkpoint_sequence", F.lit(0))).alias("first"),
-        F.max(F.coalesce("checkpoint_sequence", F.lit(0))).alias("last"),
-        F.sum(F.when(good, key_bytes)).alias("key_bytes"),
-    ).first()
-    return row.asDict()
+        F.max(F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint"))).alias("last"),
+    ]
+
+
+def _counted(outcomes: DataFrame, folder: str) -> tuple[DataFrame, dict]:
+    """The decided records as a table below `folder`, and their numbers, counted as they are written."""
+    seen = Observation()
+    return _written(outcomes.observe(seen, *_measures()), folder), seen.get
 
 
 def _following(checkpoint: int | None) -> int:

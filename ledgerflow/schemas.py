@@ -177,6 +177,19 @@ PROGRESS = _struct(
     generation=LONG,
 )
 
+# What each source of a run has brought, by batch.
+SOURCE_PROGRESS = _struct(
+    source=TEXT,
+    run_id=TEXT,
+    batch_id=LONG,
+    records=LONG,
+    checkpoint_sequence=LONG,
+    updated_at=TIME,
+)
+
+# Batches that a named sink has taken.
+DELIVERIES = _struct(run_id=TEXT, batch_id=LONG, sink=TEXT, delivered_at=TIME)
+
 EVENT_LEDGER = _struct(
     id=TEXT,
     transaction_digest=TEXT,

@@ -2,8 +2,9 @@
 
 Tables are plain Parquet folders below one root. There are no transactions, so
 safety comes from order and keys: data is written first, progress last, and an
-append skips keys that are stored already. A run that died half-way is repaired
-by running it again. One writer per table at a time is assumed.
+append skips keys that are stored already, which an index beside each table knows
+(`key_index`). A run that died half-way is repaired by running it again. One writer
+per table at a time is assumed.
 
 Large tables are laid out by `checkpoint_bucket`, a range of checkpoints, and
 sorted by checkpoint and type inside each file.
@@ -11,9 +12,11 @@ sorted by checkpoint and type inside each file.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +27,12 @@ from ledgerflow.functions.ids import row_id
 from ledgerflow.functions.times import as_of_column, run_time
 from ledgerflow.operators.reports import latest_progress
 from ledgerflow.operators.transactions import stored_transactions
+from ledgerflow.sinks.files import drop_folder
+from ledgerflow.sinks.key_index import BUCKET, KeyIndex, hashed
+from ledgerflow.sinks.small_log import SmallLog
 
-BUCKET = "checkpoint_bucket"
 DEFAULT_BUCKET_SIZE = 100_000
-# Batches whose keys take up to this many bytes are broadcast to find those already stored.
+# Keys to be left out are broadcast up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -44,22 +49,12 @@ class AppendResult:
 
 
 @dataclass(frozen=True)
-class Extent:
-    """Size of a batch: rows, first and last checkpoint, bytes of its keys."""
+class Claim:
+    """Rows of a batch that are not stored yet, one per key, and how many came in and are left."""
 
-    rows: int
-    first: int
-    last: int
-    key_bytes: int
-
-    @staticmethod
-    def of(rows: DataFrame, keys: list[str]) -> Extent:
-        """Measured; only the checkpoint and key columns are read for it."""
-        checkpoint = F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint"))
-        # 16 bytes stand for the row itself.
-        size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
-        found = rows.agg(F.count("*"), F.min(checkpoint), F.max(checkpoint), F.sum(size)).first()
-        return Extent(found[0], found[1] or 0, found[2] or 0, found[3] or 0)
+    received: int
+    new: int
+    rows: DataFrame
 
 
 @dataclass(frozen=True)
@@ -88,18 +83,18 @@ class Store:
 
     # --- appends -----------------------------------------------------------
 
-    def new_events(self, events: DataFrame, *, scope: str = "table", extent: Extent | None = None) -> DataFrame:
+    def new_events(self, events: DataFrame, *, scope: str = "table") -> Claim:
         """Source events, one per key, that are not stored yet.
 
-        Ask before enriching: rows are smaller then, and stored ones cost no work. A
-        known `extent` (it may be too wide) saves a pass over the events.
+        Ask before enriching: rows are smaller then, and stored ones cost no work. The
+        claim is good until the next one of the same table.
         """
-        return self._new(events, "processed_events", schemas.PROCESSED_EVENTS, schemas.EVENT_KEY, scope, extent)
+        return self._claim(events, "processed_events", schemas.PROCESSED_EVENTS, schemas.EVENT_KEY, scope)
 
     def append_new_events(self, processed: DataFrame) -> int:
         """Add processed events that came through `new_events`; gives their number."""
         rows = schemas.conform(processed, schemas.PROCESSED_EVENTS)
-        return self._write(rows, "processed_events", ["checkpoint_sequence", "event_type"])
+        return self._write(rows, "processed_events", schemas.EVENT_KEY, ["checkpoint_sequence", "event_type"])
 
     def append_events(self, processed: DataFrame, *, scope: str = "table") -> AppendResult:
         """Add processed events whose key is new."""
@@ -121,11 +116,9 @@ class Store:
         rows = schemas.conform(rows, schemas.TRANSACTION_ROWS)
         return self._append_new(rows, "transactions", ["digest"], ["checkpoint_sequence", "sender"], scope)
 
-    def append_quarantine(
-        self, rows: DataFrame, *, scope: str = "table", extent: Extent | None = None
-    ) -> AppendResult:
+    def append_quarantine(self, rows: DataFrame, *, scope: str = "table") -> AppendResult:
         rows = schemas.conform(rows, schemas.QUARANTINE)
-        return self._append_new(rows, "quarantine", ["record_id"], ["checkpoint_sequence", "reason"], scope, extent)
+        return self._append_new(rows, "quarantine", ["record_id"], ["checkpoint_sequence", "reason"], scope)
 
     def append_event_ledger(self, outcomes: DataFrame, as_of: datetime | int | None = None) -> AppendResult:
         """Record which events were processed, and how."""
@@ -138,7 +131,7 @@ class Store:
 
     def not_yet_processed(self, events: DataFrame) -> DataFrame:
         """Events that the ledger does not list."""
-        done = self.read("event_ledger", schemas.EVENT_LEDGER).where(F.col("status") == "success")
+        done = self.event_ledger().where(F.col("status") == "success")
         keys = done.select("transaction_digest", F.col("event_sequence").alias("event_seq"))
         return events.join(keys, schemas.EVENT_KEY, "left_anti")
 
@@ -168,7 +161,7 @@ class Store:
             started_at=started_at,
             finished_at=finished_at,
         )
-        self._write_row(row, schemas.BATCH_LOG, "batch_log")
+        self._log("batch_log", schemas.BATCH_LOG).append(row)
 
     def write_event_stats(self, stats: DataFrame) -> None:
         """Replace the days that `stats` holds; other days stay."""
@@ -176,7 +169,7 @@ class Store:
             stats.select(*[F.col(f.name).cast(f.dataType) for f in schemas.EVENT_STATS]), schemas.EVENT_STATS
         )
         writer = rows.write.partitionBy("date").mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self._path("event_stats"))
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.table_path("event_stats"))
 
     # --- progress ----------------------------------------------------------
 
@@ -203,7 +196,32 @@ class Store:
             reset=reset,
             generation=generation,
         )
-        self._write_row(row, schemas.PROGRESS, "progress")
+        self._log("progress", schemas.PROGRESS).append(row)
+
+    def save_source_progress(
+        self, source: str, *, run_id: str, batch_id: int, records: int, checkpoint: int | None, as_of: datetime | int | None = None
+    ) -> None:
+        """Note what one source of a run has brought in a batch; write the data first."""
+        row = dict(
+            source=source, run_id=run_id, batch_id=batch_id, records=records, checkpoint_sequence=checkpoint, updated_at=run_time(as_of)
+        )
+        self._log("source_progress", schemas.SOURCE_PROGRESS).append(row)
+
+    def source_progress(self) -> DataFrame:
+        return self._log("source_progress", schemas.SOURCE_PROGRESS).read(self.spark)
+
+    def save_delivery(self, sink: str, *, run_id: str, batch_id: int, as_of: datetime | int | None = None) -> None:
+        """Note that a sink has taken a batch."""
+        row = dict(run_id=run_id, batch_id=batch_id, sink=sink, delivered_at=run_time(as_of))
+        self._log("deliveries", schemas.DELIVERIES).append(row)
+
+    def deliveries(self) -> DataFrame:
+        return self._log("deliveries", schemas.DELIVERIES).read(self.spark)
+
+    def has_delivery(self, sink: str, *, run_id: str, batch_id: int, sinks: int) -> bool:
+        """Whether a sink has taken the newest batch of a run; of a batch there are at most `sinks` rows."""
+        newest = self._log("deliveries", schemas.DELIVERIES).tail(sinks)
+        return any((row["run_id"], row["batch_id"], row["sink"]) == (run_id, batch_id, sink) for row in newest)
 
     def latest_checkpoint(self) -> int | None:
         return latest_progress(self.progress()).first()["latest_checkpoint"]
@@ -218,10 +236,10 @@ class Store:
     # --- reads -------------------------------------------------------------
 
     def progress(self) -> DataFrame:
-        return self.read("progress", schemas.PROGRESS)
+        return self._log("progress", schemas.PROGRESS).read(self.spark)
 
     def batch_log(self) -> DataFrame:
-        return self.read("batch_log", schemas.BATCH_LOG)
+        return self._log("batch_log", schemas.BATCH_LOG).read(self.spark)
 
     def processed_events(self) -> DataFrame:
         return self.read("processed_events", schemas.PROCESSED_EVENTS, bucketed=True)
@@ -229,6 +247,9 @@ class Store:
     def processed_transactions(self) -> DataFrame:
         return self.read("processed_transactions", schemas.PROCESSED_TRANSACTIONS, bucketed=True)
 
+    def event_ledger(self) -> DataFrame:
+        return self.read("event_ledger", schemas.EVENT_LEDGER)
+
     def quarantined(self) -> DataFrame:
         return self.read("quarantine", schemas.QUARANTINE, bucketed=True)
 
@@ -247,65 +268,98 @@ class Store:
 
     # --- internals ---------------------------------------------------------
 
-    def _append_new(
-        self, rows: DataFrame, table: str, keys: list[str], order: list[str], scope: str, extent: Extent | None = None
-    ) -> AppendResult:
-        extent = extent or Extent.of(rows, keys)
-        if extent.rows == 0:
-            return AppendResult(0, 0)
-        fresh = self._new(rows, table, rows.schema, keys, scope, extent)
-        return AppendResult(extent.rows, self._write(fresh, table, order))
+    def work_folder(self, purpose: str) -> str:
+        """A fresh folder for an intermediate table; drop it when it is done with."""
+        return f"{self.table_path('_work')}/{purpose}/{uuid.uuid4().hex}"
 
-    def _new(
-        self,
-        rows: DataFrame,
-        table: str,
-        schema: T.StructType,
-        keys: list[str],
-        scope: str,
-        extent: Extent | None,
-    ) -> DataFrame:
+    def _append_new(self, rows: DataFrame, table: str, keys: list[str], order: list[str], scope: str) -> AppendResult:
+        claim = self._claim(rows, table, rows.schema, keys, scope)
+        return AppendResult(claim.received, self._write(claim.rows, table, keys, order) if claim.new else 0)
+
+    def _claim(self, rows: DataFrame, table: str, schema: T.StructType, keys: list[str], scope: str) -> Claim:
+        """The rows whose key is not stored, one per key; a null key part is a value like any other.
+
+        The batch is read once for this, on its keys alone: they are counted into one row
+        each, which finds copies within the batch, and looked up in the index. The rows are
+        not moved unless there are stored keys or copies beyond `BROADCAST_BYTES`.
+        """
         if scope not in ("table", "checkpoint"):
             raise ValueError(f"unknown scope: {scope}")
-        extent = extent or Extent.of(rows, keys)
+        drop_folder(f"{self.table_path('_work')}/{table}")
         stored = self._stored(table, T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())]))
-        if stored is not None and scope == "checkpoint":
-            first, last = extent.first // self.bucket_size, extent.last // self.bucket_size
-            stored = stored.where(F.col(BUCKET).between(first, last))
-        return new_rows(rows, stored, keys, small=extent.key_bytes <= BROADCAST_BYTES)
+        index = self._index(table, schema, keys)
+        index.settle(stored)
+        checkpoint = F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint"))
+        measures = (F.count("*").alias("_copies"), F.min(checkpoint).alias("_first"), F.max(checkpoint).alias("_last"))
+        keyed = hashed(rows.groupBy(*keys).agg(*measures), keys).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            size = keyed.agg(
+                F.sum("_copies").alias("rows"),
+                F.count("*").alias("keys"),
+                F.count_if(F.col("_copies") > 1).alias("copied"),
+                F.min("_first").alias("first"),
+                F.max("_last").alias("last"),
+            ).first()
+            found, n_found = None, 0
+            if stored is not None and size["keys"]:
+                buckets = (size["first"] // self.bucket_size, size["last"] // self.bucket_size)
+                among = index.stored_among(keyed, size["keys"], buckets if scope == "checkpoint" else None)
+                found, n_found = self._held(among, table, keys)
+            copied, n_copied = self._held(keyed.where("_copies > 1").select(*keys) if size["copied"] else None, table, keys)
+        finally:
+            keyed.unpersist()
+        fresh = _join(rows, found, keys, "left_anti") if n_found else rows
+        if n_copied:
+            # Copies are merged before their shuffle, so it does not matter if most rows are copies of one.
+            once = _join(fresh, copied, keys, "left_semi").dropDuplicates(keys)
+            fresh = _join(fresh, copied, keys, "left_anti").unionByName(once)
+        return Claim(size["rows"] or 0, size["keys"] - n_found, fresh)
+
+    def _held(self, found: DataFrame | None, table: str, keys: list[str]) -> tuple[DataFrame | None, int]:
+        """Keys written to a table of their own, marked for broadcast if they are small, and their number."""
+        if found is None:
+            return None, 0
+        seen, folder = Observation(), self.work_folder(table)
+        # 16 bytes stand for the row itself.
+        size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
+        found.observe(seen, F.count("*").alias("n"), F.sum(size).alias("bytes")).write.parquet(folder)
+        held = self.spark.read.schema(found.schema).parquet(folder)
+        small = (seen.get["bytes"] or 0) <= BROADCAST_BYTES
+        return (F.broadcast(held) if small else held), seen.get["n"]
 
-    def _write(self, rows: DataFrame, table: str, order: list[str]) -> int:
+    def _write(self, rows: DataFrame, table: str, keys: list[str], order: list[str]) -> int:
         seen = Observation()
-        laid_out = rows.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size))
-        laid_out = laid_out.observe(seen, F.count("*").alias("n"))
+        bucketed = rows.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size))
+        index = self._index(table, rows.schema, keys)
+        segment = index.begin(bucketed)
+        laid_out = bucketed.observe(seen, F.count("*").alias("n"))
         if self.rebalance:
             laid_out = laid_out.hint("rebalance", BUCKET)
         laid_out.sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).mode("append").parquet(
-            self._path(table)
+            self.table_path(table)
         )
+        index.finish(segment)
         return seen.get["n"]
 
-    def _write_row(self, row: dict[str, object], schema: T.StructType, table: str) -> None:
-        values = [_literal(row[f.name]).cast(f.dataType).alias(f.name) for f in schema]
-        self.spark.range(1).select(*values).coalesce(1).write.mode("append").parquet(self._path(table))
+    def _index(self, table: str, schema: T.StructType, keys: list[str]) -> KeyIndex:
+        return KeyIndex(self.spark, self.root, table, T.StructType([schema[key] for key in keys]))
+
+    def _log(self, table: str, schema: T.StructType) -> SmallLog:
+        return SmallLog(self.table_path(table), schema)
 
     def _stored(self, table: str, schema: T.StructType) -> DataFrame | None:
         # The reader lists the folder and names its absence; no private handle of the session is needed.
         try:
-            return self.spark.read.schema(schema).parquet(self._path(table))
+            return self.spark.read.schema(schema).parquet(self.table_path(table))
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def _path(self, table: str) -> str:
+    def table_path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
 
-def _literal(value: object) -> Column:
-    return as_of_column(value) if isinstance(value, datetime) else F.lit(value)
-
-
 def bucket_of(checkpoint: Column | str, bucket_size: int) -> Column:
     value = F.col(checkpoint) if isinstance(checkpoint, str) else checkpoint
     return F.floor(F.coalesce(value, F.lit(0)) / bucket_size).cast("bigint")
@@ -358,10 +412,11 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
 
 def _measured(found: DataFrame, keys: list[str]) -> DataFrame | None:
     """Keys for a join: none at all, marked for broadcast if few, or as they are."""
-    size = Extent.of(found.withColumn("checkpoint_sequence", F.lit(0).cast("bigint")), keys)
-    if size.rows == 0:
+    size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
+    n, n_bytes = found.agg(F.count("*"), F.sum(size)).first()
+    if not n:
         return None
-    return F.broadcast(found) if size.key_bytes <= BROADCAST_BYTES else found
+    return F.broadcast(found) if n_bytes <= BROADCAST_BYTES else found
 
 
 def read_range(
