@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from ledgerflow.llm.common import map_slices
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+_OPENING = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _BRACKET = re.compile(r"<(?=[a-zA-Z/!?])")
 _HINTS = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.IGNORECASE)
@@ -91,6 +93,58 @@ def _names(attributes: str) -> tuple[set[str], bool, bool]:
     return parts, apart, hidden
 
 
+class TagScanner:
+    """The tags of a page in order, in time that grows with its length whatever is broken in it.
+
+    A tag ends at the first ">" outside quotes. Once quotes have swallowed the rest of a page
+    they don't count any more, so that no text is gone through again and again.
+    """
+
+    def __init__(self, page: str):
+        self._page = page
+        self._quotes = True
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the next tag, "/" if it is an end tag, its name and attributes; no name if it has none."""
+        page = self._page
+        while opening := _OPENING.search(page, at):
+            start = opening.start()
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, (len(page) if end < 0 else end + 3), "", "", ""
+            if page[start + 1] in "!?":
+                end = page.find(">", start)
+                if end >= 0:
+                    return start, end + 1, "", "", ""
+                at = start + 1
+                if _OPENING.search(page, at) is None or page.find(">", at) < 0:
+                    return None
+                continue
+            name = _NAME.match(page, start + 1)
+            end = self._end(name.end())
+            if end < 0:
+                return None
+            return start, end + 1, name[1], name[2].lower(), page[name.end() : end]
+        return None
+
+    def _end(self, at: int) -> int:
+        """Place of the ">" that ends a tag; -1 if there is none at all."""
+        page, first = self._page, at
+        while self._quotes:
+            close = page.find(">", at)
+            if close < 0:
+                break
+            mark = min((i for i in (page.find(q, at, close) for q in "\"'") if i >= 0), default=-1)
+            if mark < 0:
+                return close
+            ending = page.find(page[mark], mark + 1)
+            if ending < 0:
+                break
+            at = ending + 1
+        self._quotes = False
+        return page.find(">", first)
+
+
 def flat_blocks(page: str) -> list[Block]:
     """Text blocks in page order; character references decoded, white space kept for later."""
     blocks: list[Block] = []
@@ -101,11 +155,13 @@ def flat_blocks(page: str) -> list[Block]:
     current: Block | None = None
     links = 0
     at = 0
+    open_names: Counter[str] = Counter()
+    tags = TagScanner(page)
 
     def end_head() -> None:
         nonlocal state
         if stack and stack[-1][0] == "head":
-            stack.pop()
+            open_names[stack.pop()[0]] -= 1
             state = stack[-1][1:] if stack else nothing
 
     def put(raw: str) -> None:
@@ -117,7 +173,7 @@ def flat_blocks(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
+            heading = any(open_names[f"h{n}"] for n in range(1, 7))
             current = Block([], 0, state[0], state[1], state[2], heading, state[4], state[5])
             blocks.append(current)
         text = html.unescape(raw)
@@ -126,26 +182,27 @@ def flat_blocks(page: str) -> list[Block]:
             current.linked += len(_WORD.findall(text))
 
     while at < len(page):
-        match = _TAG.search(page, at)
-        if match is None:
+        tag = tags.next(at)
+        if tag is None:
             rest = page[at:]
             cut = _BRACKET.search(rest)  # a tag that the page's end broke off
             put(rest[: cut.start()] if cut else rest)
             break
-        put(page[at : match.start()])
-        at = match.end()
-        name = (match[2] or "").lower()
+        start, end, slash, name, attributes = tag
+        put(page[at:start])
+        at = end
         if not name:
             continue
         if name in _BLOCKS:
             current = None
         elif name == "br" and current is not None:
             current.text.append(" ")
-        if match[1]:
+        if slash:
             if name == "a":
                 links = max(0, links - 1)
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1 if open_names[name] > 0 else -1, -1, -1):
                 if stack[depth][0] == name:
+                    open_names.subtract(s[0] for s in stack[depth:])
                     del stack[depth:]
                     break
                 if stack[depth][0] in _MAIN | _APART | {"div", "section", "body"} and name not in _BLOCKS:
@@ -154,14 +211,14 @@ def flat_blocks(page: str) -> list[Block]:
             continue
         if name not in _IN_HEAD:
             end_head()
-        if name in _VOID or match[3].endswith("/"):
+        if name in _VOID or attributes.endswith("/"):
             continue
         if name == "a":
             links += 1
         if name in _BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()  # a paragraph ends where the next block begins
+            open_names[stack.pop()[0]] -= 1  # a paragraph ends where the next block begins
             state = stack[-1][1:] if stack else nothing
-        parts, named, hidden = _names(match[3]) if match[3].strip() else (set(), False, False)
+        parts, named, hidden = _names(attributes) if attributes.strip() else (set(), False, False)
         if name in ("html", "body"):
             named = hidden = False  # such names tell of the page, not of a part of it
         main, apart, apart_named, silent, in_article, apart_inside = state
@@ -176,10 +233,11 @@ def flat_blocks(page: str) -> list[Block]:
         silent = silent or name in _SILENT or hidden
         state = (main, apart, apart_named, silent, in_article, apart_inside)
         stack.append((name, *state))
+        open_names[name] += 1
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
+            closing = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            at = closing.end() if closing else len(page)
+            open_names[stack.pop()[0]] -= 1
             state = stack[-1][1:] if stack else nothing
     blocks = [b for b in blocks if b.joined()]
     # Names around the only articles are not about them; comments are articles beside others.
