@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import filter_slices, map_slices, plain_words, texts_as_bytes, without_ids
+from ledgerflow.llm.common import filter_slices, keep, map_slices, plain_words, texts_as_bytes
 
 #: Every so many text positions the suffix array is kept.
 SAMPLE_EVERY = 8
@@ -201,7 +201,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, b
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     if blocks == 1:
         return _search(rows, items.collect(), width, numbered=False)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Written once, so that a row has the same number in the search of each block.
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return _united(items, blocks, rows, width).select("doc_id", "n_words", "spans", "items")
+
+
+def _united(items: DataFrame, blocks: int, rows: DataFrame, width: int) -> DataFrame:
+    """row, doc_id, n_words, spans and items of numbered rows, found block by block."""
     parts = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -218,7 +224,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, b
         case when size(done) > 0 and s.start <= element_at(done, -1).end
              then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end))))
              else concat(done, array(s)) end)"""
-    return united.select("doc_id", "n_words", F.expr(joined).alias("spans"), "items")
+    return united.select("row", "doc_id", "n_words", F.expr(joined).alias("spans"), "items")
 
 
 def _search(rows: DataFrame, items: list, width: int, numbered: bool) -> DataFrame:
@@ -244,26 +250,35 @@ def _search(rows: DataFrame, items: list, width: int, numbered: bool) -> DataFra
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row."""
-    found = find_contamination(docs, benchmark).select(
-        "doc_id",
+    return _digest(find_contamination(docs, benchmark), "doc_id")
+
+
+def _digest(found: DataFrame, *own: str) -> DataFrame:
+    counted = found.select(
+        *own,
         "n_words",
         F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_hit"),
         F.expr("cast(size(items) as long)").alias("n_items"),
         F.sha2(F.expr("array_join(array_sort(items), ',')"), 256).alias("items_sha256"),
     )
-    return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return counted.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without contaminated rows; every column stays as it is.
+_ROW = "_numbered_row"
 
-    A benchmark of several blocks is judged by id: rows that share one go together, rows
-    without an id stay.
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """`docs` without contaminated rows, each row judged by its own text; every column stays as it is.
+
+    The number of blocks that a benchmark makes changes nothing but the way: with several,
+    rows are numbered in a written table and judged by what all blocks have found.
     """
-    items, blocks = _blocks(benchmark, BLOCK_CHARS)
+    items, blocks = _blocks(benchmark, block_chars)
     if blocks > 1:
-        bad = contamination_digest(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-        return without_ids(docs, bad)
+        numbered = keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+        rows = numbered.select(F.col(_ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        bad = _digest(_united(items, blocks, rows, 13), "row").where("contaminated")
+        return numbered.join(bad, F.col(_ROW) == F.col("row"), "left_anti").drop(_ROW)
     windows = Windows.of([(row["item_id"], row["text"]) for row in items.collect()], 13)
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
