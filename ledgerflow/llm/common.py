@@ -72,15 +72,6 @@ def filter_slices(frame: DataFrame, work: Callable[[], Callable], rows: int = SL
     return frame.mapInArrow(run, frame.schema)
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """`docs` less the ids in `gone` (one column); up to `most` of them are sent to every executor."""
-    name = gone.columns[0]
-    gone = keep(gone.distinct(), "gone")
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
-
-
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

@@ -84,24 +84,33 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text")
 
 
-def unit_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
-    """doc_id, start, end, n (features) and key (null without features) of each unit of each row."""
+def unit_rows(docs: DataFrame, cutter: Callable[[], Cutter], text_hash: bool = False) -> DataFrame:
+    """doc_id, start, end, n (features) and key (null without features) of each unit of each row.
+
+    With `text_hash` also that, for telling rows of one doc_id apart.
+    """
 
     def work():
         cut = cutter()
 
         def batch(part: pa.RecordBatch) -> dict:
+            given = zip(*[part.column(name).to_pylist() for name in own], texts_as_bytes(part.column("text")), strict=True)
             rows = [
-                (doc_id, start, end, len(features), set_key(features) if len(features) else None)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_as_bytes(part.column("text")), strict=True)
+                (*named, start, end, len(features), set_key(features) if len(features) else None)
+                for *named, text in given
                 for start, end, features in cut(text)
             ]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            return {n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "end", "n", "key"), columns, strict=True)}
+            names = (*own, "start", "end", "n", "key")
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            return {n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}
 
         return batch
 
-    return map_slices(_rows(docs), work, "doc_id long, start long, end long, n long, key long")
+    own, rows = ["doc_id"], _rows(docs)
+    if text_hash:
+        own, rows = [*own, "text_hash"], rows.withColumn("text_hash", F.xxhash64("text"))
+    schema = ", ".join(f"{name} long" for name in (*own, "start", "end", "n", "key"))
+    return map_slices(rows, work, schema)
 
 
 def signature_rows(docs: DataFrame, cutter: Callable[[], Cutter], sign: Signer) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import near
-from ledgerflow.llm.common import keep, spaced_words, without_ids
+from ledgerflow.llm.common import keep, spaced_words
 
 _OTHER_CUT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,6 +139,34 @@ def join_documents(docs: DataFrame, width: int = 4, percent: int = 85, signature
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """`docs` with the smallest doc_id of each component; rows without an id stay, repeated rows too."""
-    found = join_documents(docs, width, percent)
-    return without_ids(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")))
+    """`docs` with one row of each component, one with its smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a row goes only for what its own text is
+    linked with. Rows without an id or without words stay; of repeated rows one stays.
+    """
+    cutter = DocumentShingles(width)
+    units = keep(near.unit_rows(docs, cutter, text_hash=True), "units")
+    labels = near.connect(docs, units, cutter, PartEnum(percent), percent)
+    rows = units.where("key is not null and doc_id is not null").groupBy("key", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    named = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    # The smallest id first, then the smallest hash among the rows of that id.
+    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    judged = keep(
+        named.join(first, "label").select(
+            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n",
+            ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"),
+        ),
+        "judged",
+    )
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(_small(judged.where("not stays").select("_id", "_hash")), same, "left_anti")
+    repeated = judged.where("stays and n > 1").select("_id", "_hash")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(_small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(_small(repeated), same, "left_anti").unionByName(once)
+
+
+def _small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Two numbers a row; up to `most` rows are sent to every executor."""
+    return F.broadcast(rows) if rows.count() <= most else rows
