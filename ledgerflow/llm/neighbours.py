@@ -109,12 +109,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, which changes no digit: squares then neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scaled = _scaled(vectors)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Each row by itself, so that equal vectors get equal scores wherever they stand."""
+    vectors, query = _scaled(vectors), _scaled(query)
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
