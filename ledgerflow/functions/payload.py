@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAYLOAD_MAP = "map<string,variant>"
+#: The column that carries a payload's value from its one parse to all that use it.
+PAYLOAD = "_payload"
 
 
 def payload_map(payload: Column | str) -> Column:
@@ -51,18 +53,41 @@ def joined_objects(first: str, second: str) -> Column:
     return F.when(head == "{}", tail).when(tail == "{}", head).otherwise(both)
 
 
-def is_json(payload: Column | str) -> Column:
-    """Whether the text is one JSON value of any kind, and nothing else.
+def payload_value(payload: Column | str) -> Column:
+    """The text's JSON value as VARIANT; null unless the text is one JSON value and nothing else.
 
-    The parser stops behind the first value and takes single quotes in some places, so
-    the text is parsed inside a list, of which it must be the only member, and inside an
-    object: text that closes the one early is no text for the other.
+    The parser stops behind the first value, so the text is parsed as the only member of a
+    list, which only a "]" in the text could close early; texts with one are parsed as a
+    member of an object as well, and text that closes the one early is no text for the other.
+    All others are parsed once. Numbers beyond a double's range and whole numbers of more
+    than 38 digits are errors, as no value could hold them; so is what the parser takes for no
+    JSON, such as NaN and a comma behind the last member.
     """
     text = _col(payload)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(one, F.try_variant_get(held, "$.v", "variant").isNotNull()).otherwise(F.lit(False))
+    value = F.try_variant_get(listed, "$[0]", "variant")
+    one = value.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    whole = ~text.contains("]") | F.try_variant_get(held, "$.v", "variant").isNotNull()
+    return F.when(one & whole & ~_out_of_range(text), value)
+
+
+def is_json(payload: Column | str) -> Column:
+    """Whether the text has a `payload_value`."""
+    return payload_value(payload).isNotNull()
+
+
+_LONG = "[0-9](?:[eE][+]?[0-9]{3}|[0-9]{38})"
+_STRINGS = r'"(?:[^"\\]|\\.)*+"'
+
+
+def _out_of_range(text: Column) -> Column:
+    """Whether JSON text has a number that is too large; most texts show at a glance that they have none."""
+    numbers = F.regexp_replace(text, F.lit(_STRINGS), F.lit('""'))
+    powers = F.regexp_extract_all(numbers, F.lit("-?[0-9][0-9.]*[eE][+]?[0-9]{3,}"), F.lit(0))
+    infinite = F.exists(powers, lambda x: F.abs(x.try_cast("double")) == float("inf"))
+    wide = numbers.rlike(r"(^|[^0-9.eE+-])-?[0-9]{39,}($|[^0-9.eE])")
+    return F.when(text.rlike(_LONG), infinite | wide).otherwise(F.lit(False))
 
 
 def variant_text(value: Column) -> Column:

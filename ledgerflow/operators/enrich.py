@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow import fixed_values as fixed
 from ledgerflow.functions.ids import full_type, row_id
-from ledgerflow.functions.payload import joined_objects, without_keys
+from ledgerflow.functions.payload import PAYLOAD, joined_objects, without_keys
 from ledgerflow.functions.times import as_of_column, event_time, run_time
 from ledgerflow.schemas import EVENT_KEY, EVENT_METADATA
 
@@ -74,7 +74,7 @@ def with_fields(
     )
     members = _envelope_members(include_raw)
     if custom_fields:
-        doc = F.when(known & F.col(_KEYS).isNotNull(), F.try_parse_json("parsed_json"))
+        doc = F.when(known & F.col(_KEYS).isNotNull(), _value(events))
         parsed = parsed.withColumn(_DOC, doc).withColumns(
             {
                 _AMOUNT: F.try_variant_get(_DOC, "$.amount", "variant"),
@@ -131,8 +131,13 @@ def _protocol_members(prefixes: Sequence[str]) -> dict[str, Column]:
     return members
 
 
-def source_event() -> Column:
-    """The event as it came, as JSON text with the wire's names."""
+def _value(events: DataFrame) -> Column:
+    """The payload's value, as the outcomes have left it or else parsed here."""
+    return F.col(PAYLOAD) if PAYLOAD in events.columns else F.try_parse_json("parsed_json")
+
+
+def source_event(value: Column | None = None) -> Column:
+    """The event as it came, as JSON text with the wire's names; `value` is its payload if that is parsed already."""
     key = F.struct(
         F.col("transaction_digest").alias("txDigest"), F.col("event_seq").cast("string").alias("eventSeq")
     )
@@ -148,7 +153,8 @@ def source_event() -> Column:
         )
     )
     # Through the parsed value: the text itself may be a bare string or end in something else.
-    payload = F.coalesce(F.to_json(F.try_parse_json("parsed_json")), F.lit("null"))
+    value = F.try_parse_json("parsed_json") if value is None else value
+    payload = F.coalesce(F.to_json(value), F.lit("null"))
     # The envelope is never empty, so it can simply follow the payload.
     return F.concat(F.lit('{"parsedJson":'), payload, F.lit(","), F.substr(envelope, F.lit(2)))
 
@@ -187,11 +193,18 @@ def enrich_events(
     )
 
 
+#: Processors with this mark go on from the payload that the outcomes have parsed.
+enrich_events.takes_payload = True
+
+
 def enrich_lending_events(events: DataFrame, **options) -> DataFrame:
     """`enrich_events` with the lending protocol's extra tags."""
     return enrich_events(events, extra_tags=fixed.EXTRA_TAGS, **options)
 
 
+enrich_lending_events.takes_payload = True
+
+
 def enrich_default(events: DataFrame, *, as_of: AsOf = None, part: str = fixed.CONTAINED_PROTOCOL_ID) -> DataFrame:
     """Default profile: type and payload as fields; labels for the protocol's events only."""
     member = mentions_protocol(part)
@@ -289,7 +302,7 @@ def _processed(
     )
     return events.select(
         row_id(*EVENT_KEY).alias("id"),
-        (source_event() if include_source else F.lit(None).cast("string")).alias("event_data"),
+        (source_event(_value(events)) if include_source else F.lit(None).cast("string")).alias("event_data"),
         F.col("transaction_digest"),
         F.col("event_seq"),
         F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint")).alias("checkpoint_sequence"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow import schemas
-from ledgerflow.functions.payload import is_json
+from ledgerflow.functions.payload import PAYLOAD, payload_value
 from ledgerflow.functions.times import as_of_column
 from ledgerflow.operators.filters import joins, keep_flag, match_rules, no_rules
 from ledgerflow.operators.rules import Rule
@@ -30,13 +30,16 @@ def event_outcomes(
     type_match: str = "auto",
     payload_required: bool = True,
     label_rules: bool = False,
+    keep_payload: bool = False,
 ) -> DataFrame:
     """Add `outcome` and `reason` to events.
 
     An event without usable keys or ids is an error whatever the rules say. One
     that no rule wants is filtered, and its payload is not looked at. With
     `on_error="raise"` the first error fails the job. With `label_rules` the labels of
-    the matching rules are added as `matched_filters`, however many rules there are.
+    the matching rules are added as `matched_filters`, however many rules there are. With
+    `keep_payload` the value of each payload that was looked at stays as a column of its own,
+    from which the enrichment goes on without parsing it again.
     """
     joined = joins(rules)
     frame = match_rules(events, rules, type_match=type_match) if joined or label_rules else events
@@ -45,7 +48,11 @@ def event_outcomes(
     else:
         wanted = keep_flag(rules, type_match=type_match)
     envelope = _first_reason(_envelope_problems(events))
-    payload = F.when(F.lit(payload_required) & ~_payload_ok(), F.lit("payload is not JSON"))
+    # Computed before it is used, so that it is parsed once; not at all where nobody asks for it.
+    asked = envelope.isNull() & wanted & F.lit(payload_required or keep_payload)
+    frame = frame.withColumn(PAYLOAD, F.when(asked, payload_value("parsed_json")))
+    unreadable = F.col("parsed_json").isNotNull() & F.col(PAYLOAD).isNull()
+    payload = F.when(F.lit(payload_required) & unreadable, F.lit("payload is not JSON"))
     outcome = (
         F.when(envelope.isNotNull(), F.lit(ERROR))
         .when(~wanted, F.lit(FILTERED))
@@ -54,7 +61,8 @@ def event_outcomes(
     )
     reason = F.when(envelope.isNotNull(), envelope).when(~wanted, F.lit("no rule matched")).otherwise(payload)
     result = _strict(frame.withColumns({"outcome": outcome, "reason": reason}), on_error)
-    return result if label_rules else result.drop(*({"matched_filters"} - set(events.columns)))
+    extra = set() if label_rules else {"matched_filters"}
+    return result.drop(*((extra | (set() if keep_payload else {PAYLOAD})) - set(events.columns)))
 
 
 def transaction_outcomes(transactions: DataFrame, *, on_error: str = "quarantine") -> DataFrame:
@@ -75,7 +83,7 @@ def succeeded(outcomes: DataFrame) -> DataFrame:
 
 def quarantine(outcomes: DataFrame, as_of: datetime | int | None = None) -> DataFrame:
     """Error records as rows of the quarantine table, with an id made from their content."""
-    skip = {"outcome", "reason", "matched_filters"}
+    skip = {"outcome", "reason", "matched_filters", PAYLOAD}
     parts = [_json_safe(field) for field in outcomes.schema if field.name not in skip]
     record = F.to_json(F.struct(*parts))
     bad = outcomes.where(F.col("outcome") == ERROR)
@@ -102,10 +110,6 @@ def batch_counts(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _payload_ok() -> Column:
-    return F.col("parsed_json").isNull() | is_json("parsed_json")
-
-
 def _envelope_problems(events: DataFrame) -> list[tuple[Column, str]]:
     problems = []
     if "_corrupt_record" in events.columns:

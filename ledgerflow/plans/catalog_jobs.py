@@ -527,6 +527,50 @@ def strict_mode(spark: SparkSession, folder: str) -> DataFrame:
     return decided.select("event_id", "outcome")
 
 
+@query("select 'all' as part, exists(select 1 from ok where j is null) as failed union all select 'good', false")
+def strict_mode_fails(spark: SparkSession, folder: str) -> DataFrame:
+    """The strict mode fails at a bad record and names its reason."""
+    events = chain_events(spark, folder)
+    good = outcomes.succeeded(outcomes.event_outcomes(events))
+    found = []
+    for part, frame in (("all", events), ("good", good)):
+        decided = outcomes.event_outcomes(frame, on_error="raise")
+        try:
+            decided.select("event_id", "outcome").write.parquet(scratch_folder(spark, "strict"))
+            found.append((part, False))
+        except Exception as problem:  # Spark wraps what a task raises in errors of several kinds
+            if "bad record: payload is not JSON" not in str(problem):
+                raise
+            found.append((part, True))
+    return spark.createDataFrame(found, "part string, failed boolean")
+
+
+@query(
+    """
+, shapes as (
+  select event_id, event_id % 6 as shape, case event_id % 6 when 0 then concat('{"n":1', event_id, 'e400}') when 1 then concat('{"n":-', event_id, 'E+308}')
+      when 2 then concat('{"n":', repeat('9', 39), '}') when 3 then concat('{"n":"', repeat('9', 39), 'e400"}')
+      when 4 then concat('{"n":', repeat('9', 38), '}') else concat('{"n":0.', repeat('9', 45), '}') end as payload
+  from events)
+select event_id, case when shape in (0, 2) or shape = 1 and event_id > 1 then 'error' else 'success' end as outcome from shapes
+"""
+)
+def payload_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers that no value can hold are errors; the same digits inside a string are not."""
+    kind, number = F.col("event_id") % 6, F.lit('{"n":')
+    nines = F.repeat(F.lit("9"), F.lit(39))
+    text = (
+        F.when(kind == 0, F.concat(number, F.lit("1"), "event_id", F.lit("e400}")))
+        .when(kind == 1, F.concat(number, F.lit("-"), "event_id", F.lit("E+308}")))
+        .when(kind == 2, F.concat(number, nines, F.lit("}")))
+        .when(kind == 3, F.concat(number, F.lit('"'), nines, F.lit('e400"}')))
+        .when(kind == 4, F.concat(number, F.substring(nines, 1, 38), F.lit("}")))
+        .otherwise(F.concat(number, F.lit("0."), F.repeat(F.lit("9"), F.lit(45)), F.lit("}")))
+    )
+    events = chain_events(spark, folder).withColumn("parsed_json", text)
+    return outcomes.event_outcomes(events).select("event_id", "outcome")
+
+
 def _strict_rules() -> list[rules.Rule]:
     return _some_rules()
 
@@ -558,6 +602,32 @@ def rule_validation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("select distinct package_id, transaction_module, true as valid, false as bad_package, false as bad_module from chain_events")
+def rule_builders(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rule builders accept of the modules that occur, and of spoilt forms of them."""
+
+    def accepts(build, *parts: str) -> bool:
+        try:
+            build(*parts)
+            return True
+        except ValueError:
+            return False
+
+    # Modules are few whatever the number of events.
+    known = chain_events(spark, folder).select("package_id", "transaction_module").distinct().collect()
+    found = [
+        (
+            package,
+            module,
+            all((accepts(rules.module_rule, package, module), accepts(rules.package_rule, package), accepts(rules.sender_rule, package))),
+            any(accepts(build, *parts) for build, *parts in ((rules.module_rule, f"{package}g", module), (rules.package_rule, f"{package}\n"), (rules.sender_rule, ""))),
+            any(accepts(rules.module_rule, package, name) for name in (f"{module}-", f"1{module}", f"{module}\n", "")),
+        )
+        for package, module in known
+    ]
+    return spark.createDataFrame(found, "package_id string, transaction_module string, valid boolean, bad_package boolean, bad_module boolean")
+
+
 # --- enrichment -------------------------------------------------------------
 
 

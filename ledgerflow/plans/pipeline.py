@@ -105,7 +105,7 @@ class Pipeline:
             transactions = from_checkpoint(transactions, begin_transactions)
         events = from_checkpoint(events, begin)
         return self._run(
-            self.outcomes(store.not_yet_processed(events) if self.ledger else events),
+            self.outcomes(store.not_yet_processed(events) if self.ledger else events, keep_payload=True),
             store,
             transactions,
             as_of=as_of,
@@ -162,7 +162,7 @@ class Pipeline:
                 if transactions is not None:
                     batch, found = (batch.where(f"{part} is not null").select(f"{part}.*") for part in (_EVENT, _TRANSACTION))
                 self._run(
-                    batch if decided else self.outcomes(batch),
+                    batch if decided else self.outcomes(batch, keep_payload=True),
                     store,
                     found,
                     as_of=as_of,
@@ -180,12 +180,17 @@ class Pipeline:
         with state_store(store.spark) if decided else nullcontext():
             return writer.foreachBatch(handle).start()
 
-    def outcomes(self, events: DataFrame) -> DataFrame:
+    def outcomes(self, events: DataFrame, *, keep_payload: bool = False) -> DataFrame:
         """Events with their outcome, and the labels of the matching rules if wanted."""
         # A frame of rules may be empty; only an empty list is known to label nothing.
         labels = self.label_rules and (isinstance(self.rules, DataFrame) or bool(self.rules))
         return oc.event_outcomes(
-            events, self.rules, on_error=self.on_error, type_match=self.type_match, label_rules=labels
+            events,
+            self.rules,
+            on_error=self.on_error,
+            type_match=self.type_match,
+            label_rules=labels,
+            keep_payload=keep_payload and getattr(self.processor, "takes_payload", False),
         )
 
     def _run(

@@ -186,3 +186,28 @@ def test_bad_json_lines_stay(spark, tmp_path):
     rows = read_events(spark, str(tmp_path), format="json").cache()
     assert rows.count() == 3
     assert rows.where(F.col("_corrupt_record").isNotNull()).count() == 2
+
+
+def _written(events, tmp_path) -> str:
+    """As a file, so that the plan isn't folded into literal rows."""
+    events.write.parquet(str(tmp_path / "events"))
+    return str(tmp_path / "events")
+
+
+def test_payload_is_parsed_in_one_place(spark, make_events, tmp_path):
+    from ledgerflow.functions.payload import PAYLOAD
+    from ledgerflow.operators.outcomes import event_outcomes, succeeded
+
+    texts = ['{"amount":"5","sender":"x"}', "[1]", "bad", "null", None, '{"a":1,"a":2}']
+    events = make_events(*[{"event_seq": i, "parsed_json": t} for i, t in enumerate(texts)])
+    decided = event_outcomes(events, keep_payload=True)
+    # A file in between, as in the job: what follows has the value and not the text to go on from.
+    decided.write.parquet(str(tmp_path / "decided"))
+    held = spark.read.schema(decided.schema).parquet(str(tmp_path / "decided"))
+    done = enrich.enrich_events(succeeded(held), as_of=5)
+    assert "parseJson" not in plan_of(done)
+    checked = event_outcomes(read_events(spark, _written(events, tmp_path)), keep_payload=True)
+    assert len([line for line in plan_of(checked).splitlines() if "parseJson" in line]) == 1
+    plain = enrich.enrich_events(succeeded(event_outcomes(events)), as_of=5)
+    assert PAYLOAD not in plain.columns
+    assert sorted(done.collect(), key=str) == sorted(plain.collect(), key=str)

@@ -90,3 +90,18 @@ def test_nested_object_and_amount(spark):
 def test_ids_agree_on_any_text(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", ids.canonical_id("v").alias("c")).collect()
     assert all(r["c"] == ids.canonical_id_text(r["v"]) for r in rows)
+
+
+PAYLOADS = {
+    '{"a":1}': True, '{"a":[1,{"b":null}]}': True, "[1,2]": True, "null": True, '"t"': True, "7.5": True, '{"k":1,"k":2}': True, '{"a":"]"}': True,
+    '{"a":1} x': False, '{"a":1}{"b":2}': False, "1],[2": False, '{"a":1}]': False, "{'k':1}": False, "": False, " ": False, "1 2": False, "1,2": False,
+    '{"a":NaN}': False, '{"a":1,}': False, '"abc': False, "]": False, None: False,
+    "1e400": False, '{"a":-1E+400}': False, '{"a":1e308}': True, '{"a":"1e400"}': True, '{"q":"1e999\\"","z":2}': True, '{"n":1e400,"t":"1"}': False,
+    "1" * 38: True, "1" * 39: False, '{"x":"' + "1" * 50 + '"}': True, '{"x":0.' + "1" * 50 + "}": True,
+}
+
+
+def test_payload_values(spark):
+    rows = spark.createDataFrame([(t,) for t in PAYLOADS], "t string")
+    found = rows.select("t", payload.is_json("t").alias("ok"), payload.payload_value("t").isNotNull().alias("held")).collect()
+    assert {r["t"]: r["ok"] for r in found} == PAYLOADS == {r["t"]: r["held"] for r in found}
