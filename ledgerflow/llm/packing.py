@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import keep, map_slices
 
 #: Words and other chunks whose ids a worker remembers, and the longest of them.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 #: Pieces that one bucket of a class takes, at least; a bucket leaves one bin unfilled at most.
 BUCKET_PIECES = 4096
@@ -56,6 +56,25 @@ def cut_lengths(length: int, capacity: int, slack: int) -> list[tuple[int, int]]
     return pieces
 
 
+class Remembered(dict):
+    """Remembers about `most` keys: those of the last half, and of those before that what was asked for since."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self._most = most // 2
+        self._older: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that aren't remembered; the others are here until the next call."""
+        if len(self) > self._most:
+            self._older = dict(self)
+            self.clear()
+        asked = keys - self.keys()
+        again = asked & self._older.keys()
+        self.update((key, self._older[key]) for key in again)
+        return [*(asked - again)]
+
+
 class ChunkIds:
     """Ids of space-separated chunks as little-endian bytes.
 
@@ -73,20 +92,14 @@ class ChunkIds:
         size = self._tokenizer.get_vocab_size()
         last = (self._tokenizer.id_to_token(i) or "" for i in range(size))
         self._is_last = np.fromiter((token.endswith("</w>") for token in last), bool, size)
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._words, self._chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its chunks."""
         known = self._chunks
-        new = [*(set().union(*texts) - known.keys())]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [*set().union(*texts)]
+        new = known.missing(set().union(*texts))
         split = [self._split(chunk) for chunk in new]
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        self._encode_words([*({word for word, _ in split} - self._words.keys() - {""})])
+        self._encode_words(self._words.missing({word for word, _ in split} - {""}))
         rests = [*{rest for _, rest in split}]
         coded = self._tokenizer.encode_batch_fast(rests, add_special_tokens=False)
         ids = {rest: np.asarray(e.ids, "<u4").tobytes() for rest, e in zip(rests, coded, strict=True)}
@@ -195,6 +208,7 @@ def pack(
         lambda bins: _joined_bins(bins, capacity), "class long, bucket long, bin long, host_class long, host_bin long, shift long"
     )
     moved = placed.join(moves, own, "left")
+    numbers = F.array(*[F.lit(k).cast("long") for k in harmonic_classes(capacity)])
     host_class, host_bin = F.coalesce("host_class", "class"), F.coalesce("host_bin", "bin")
     return moved.select(
         "doc_id",
@@ -202,8 +216,8 @@ def pack(
         "length",
         "ids_crc32",
         "doc_tokens",
-        # A class takes 2^48 numbers, a bucket 2^22 of them.
-        (host_class * F.lit(1 << 48) + F.col("bucket") * F.lit(1 << 22) + host_bin).alias("sequence_id"),
+        # Classes are numbered; each takes 2^48 ids, a bucket 2^22 of them.
+        (F.array_position(numbers, host_class) * F.lit(1 << 48) + F.col("bucket") * F.lit(1 << 22) + host_bin).alias("sequence_id"),
         (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset"),
     )
 
