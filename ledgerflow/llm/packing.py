@@ -84,7 +84,7 @@ class ChunkIds:
     time, and told apart by the mark on a word's last piece.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,7 +92,7 @@ class ChunkIds:
         size = self._tokenizer.get_vocab_size()
         last = (self._tokenizer.id_to_token(i) or "" for i in range(size))
         self._is_last = np.fromiter((token.endswith("</w>") for token in last), bool, size)
-        self._words, self._chunks = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self._words, self._chunks = Remembered(remembered), Remembered(remembered)
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its chunks."""
@@ -132,16 +132,16 @@ class ChunkIds:
 
 
 @functools.cache
-def _chunk_ids(tokenizer: str) -> ChunkIds:
+def _chunk_ids(tokenizer: str, remembered: int) -> ChunkIds:
     """One per worker process: what it remembers serves the tasks that follow."""
-    return ChunkIds(tokenizer)
+    return ChunkIds(tokenizer, remembered)
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, slack: int) -> DataFrame:
+def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, slack: int, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and class of each piece."""
 
     def work():
-        ids_of = _chunk_ids(tokenizer)
+        ids_of = _chunk_ids(tokenizer, remembered)
         end = np.asarray([end_id], "<u4").tobytes()
         plans: dict[int, list[tuple[int, int]]] = {}
 
@@ -172,16 +172,23 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, slack: int = 8, bucket_pieces: int = BUCKET_PIECES
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = 2048,
+    end_id: int = 1,
+    slack: int = 8,
+    bucket_pieces: int = BUCKET_PIECES,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id of a document (its text's ids, then `end_id`) lies in exactly one piece and
     no sequence exceeds `capacity`. Null and empty texts are the end id alone; repeated
     rows are packed each; a null doc_id stays null. An empty table gives no rows.
+    `remembered` trades memory that workers keep for time and changes no result.
     """
     spark = docs.sparkSession
-    pieces = keep(document_pieces(docs, tokenizer, capacity, end_id, slack), "packing-pieces")
+    pieces = keep(document_pieces(docs, tokenizer, capacity, end_id, slack, remembered), "packing-pieces")
     # At most one row for each class, of which there are few: they decide the buckets.
     counts = pieces.groupBy("class").count().collect()
     buckets = {row["class"]: -(-row["count"] // max(bucket_pieces, 64 * row["class"])) for row in counts}
