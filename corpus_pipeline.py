@@ -10,6 +10,10 @@ from ledgerflow.llm.common import keep, read_table
 from ledgerflow.llm.queries import WORD_TOKENIZER
 
 
+#: Chunks that packing's workers remember: fewer than by itself, as the other stages use the same executors.
+REMEMBERED = 250_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents graded toxic go. The model learns from all labelled documents at hand."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
@@ -32,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [
