@@ -137,11 +137,13 @@ def _chunk_ids(tokenizer: str, remembered: int) -> ChunkIds:
     return ChunkIds(tokenizer, remembered)
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, slack: int, remembered: int = REMEMBERED) -> DataFrame:
+def document_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, slack: int, remembered: int = REMEMBERED, across_tasks: bool = True
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and class of each piece."""
 
     def work():
-        ids_of = _chunk_ids(tokenizer, remembered)
+        ids_of = _chunk_ids(tokenizer, remembered) if across_tasks else ChunkIds(tokenizer, remembered)
         end = np.asarray([end_id], "<u4").tobytes()
         plans: dict[int, list[tuple[int, int]]] = {}
 
@@ -179,16 +181,18 @@ def pack(
     slack: int = 8,
     bucket_pieces: int = BUCKET_PIECES,
     remembered: int = REMEMBERED,
+    across_tasks: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id of a document (its text's ids, then `end_id`) lies in exactly one piece and
     no sequence exceeds `capacity`. Null and empty texts are the end id alone; repeated
     rows are packed each; a null doc_id stays null. An empty table gives no rows.
-    `remembered` trades memory that workers keep for time and changes no result.
+    `remembered` trades memory for time and changes no result; without `across_tasks` a
+    worker forgets at the end of each task, and has that memory for other work.
     """
     spark = docs.sparkSession
-    pieces = keep(document_pieces(docs, tokenizer, capacity, end_id, slack, remembered), "packing-pieces")
+    pieces = keep(document_pieces(docs, tokenizer, capacity, end_id, slack, remembered, across_tasks), "packing-pieces")
     # At most one row for each class, of which there are few: they decide the buckets.
     counts = pieces.groupBy("class").count().collect()
     buckets = {row["class"]: -(-row["count"] // max(bucket_pieces, 64 * row["class"])) for row in counts}
