@@ -36,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER), remembered=REMEMBERED)
+    return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER), remembered=REMEMBERED, across_tasks=False)
 
 
 STAGES = [
