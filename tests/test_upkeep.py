@@ -98,8 +98,8 @@ def test_segments_stay_few(spark, tmp_path):
 # --- zones ---------------------------------------------------------------------
 
 
-@pytest.fixture
-def stored(spark, make_events, tmp_path):
+@pytest.fixture(scope="module")
+def stored(spark, make_events, tmp_path_factory):
     """A store of several files."""
     rng = random.Random(2)
     rows = [
@@ -107,7 +107,7 @@ def stored(spark, make_events, tmp_path):
         for i in range(90)
     ]
     rng.shuffle(rows)
-    store = Store(spark, str(tmp_path), bucket_size=4)
+    store = Store(spark, str(tmp_path_factory.mktemp("stored")), bucket_size=4)
     for part in (rows[:50], rows[50:]):
         store.append_events(enrich.enrich_events(make_events(*part), as_of=AS_OF))
     return store
