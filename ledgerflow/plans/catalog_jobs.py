@@ -207,10 +207,14 @@ def append_parts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(results, "part int, received long, written long")
 
 
+#: Bytes of a row group of the files that streams take, so that several tasks share a large file.
+_ROW_GROUP = 8 << 20
+
+
 def _split(frame: DataFrame, purpose: str, parts: int) -> str:
     """The frame as so many files, which a stream takes one by one."""
     folder = scratch_folder(frame.sparkSession, purpose)
-    frame.repartition(parts).write.parquet(folder)
+    frame.repartition(parts).write.option("parquet.block.size", _ROW_GROUP).parquet(folder)
     return folder
 
 

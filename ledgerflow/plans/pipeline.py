@@ -2,7 +2,8 @@
 
 The source is read once: filter and outcomes are one narrow stage that writes the decided
 records to an intermediate table and counts them on the way. Keys, quarantine and enrichment
-read that table; nothing is shuffled before the keyed append.
+read that table. A batch run shuffles nothing before the keyed append; a micro-batch, which may
+be a single file and so a single task, is dealt to all cores before it is judged.
 """
 
 from __future__ import annotations
@@ -156,6 +157,9 @@ class Pipeline:
             folder = store.work_folder("batch")
             try:
                 found = None
+                if not decided:
+                    # A file may be one task's, and with it all that is read from what that task writes.
+                    batch = batch.hint("rebalance")
                 if decided or transactions is not None:
                     # State and sources are gone through once; all that follows reads this table.
                     batch = _written(batch, folder)
