@@ -34,7 +34,7 @@ from ledgerflow.operators.transactions import project_transactions
 from ledgerflow.sinks.files import drop_folder
 from ledgerflow.sinks.store import Store
 from ledgerflow.sources.readers import from_checkpoint
-from ledgerflow.streaming.ledger import REMEMBER, skip_done, state_store
+from ledgerflow.streaming.ledger import REMEMBER, by_slice, skip_done, state_store
 
 log = logging.getLogger(__name__)
 
@@ -147,7 +147,7 @@ class Pipeline:
             if joins(self.rules):
                 raise ValueError("a stream with a ledger takes a short list of rules")
             listed = store.event_ledger()
-            stream, decided = skip_done(self.outcomes(events), listed, remember=remember), True
+            stream, decided = skip_done(self.outcomes(by_slice(events)), listed, remember=remember), True
         if transactions is not None and self.index_transactions:
             stream = _tagged(stream, transactions)
         else:

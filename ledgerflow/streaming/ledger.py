@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +24,11 @@ from ledgerflow.schemas import EVENT_KEY
 
 REMEMBER = timedelta(days=7)
 
+#: Keys are dealt to so many slices by their hash. A stream that has started keeps this number.
+SLICES = 1 << 14
+
+_SLICE = "_slice"
+
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # State that is forgotten by the clock would otherwise ask for batches without data for ever.
@@ -49,48 +54,67 @@ class OncePerKey(StatefulProcessor):
 
     Of several events of one key in a micro-batch all come through up to the first that
     succeeded, with that one; so errors are seen each and a success once.
+
+    Keys come in slices, each a group with a map of its done keys: Spark calls Python, and Python
+    writes an Arrow batch, once for a slice and not once for a key.
     """
 
     def __init__(self, remember: timedelta):
         self._milliseconds = int(remember.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._done = handle.getValueState("done", "done boolean", self._milliseconds)
+        key = "transaction_digest string, event_seq long"
+        self._done = handle.getMapState("done", key, "done boolean", self._milliseconds)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self._done.exists():
-            return
         for row in rows:
+            own = tuple(row[name] for name in EVENT_KEY)
+            usable = None not in own
+            if usable and self._done.containsKey(own):
+                continue
+            # The output's schema leaves the slice out.
             yield row
-            if row["outcome"] == SUCCESS:
-                self._done.update((True,))
-                return
+            if usable and row["outcome"] == SUCCESS:
+                self._done.updateValue(own, (True,))
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self._done.update((True,))
+        for own in initialState["keys"]:
+            self._done.updateValue(tuple(own[name] for name in EVENT_KEY), (True,))
 
 
 def skip_done(decided: DataFrame, ledger: DataFrame | None = None, *, remember: timedelta = REMEMBER) -> DataFrame:
     """A stream of `event_outcomes` less the events that were done.
 
     `ledger` has rows of the stored event ledger; it is read once, when the stream first
-    starts. Events without a usable key have no state and always come through, each as the
-    error that it is.
+    starts. Events without a usable key are never done and always come through, each as the
+    error that it is. Deal the events by `by_slice` before they are decided, and that work is
+    spread as the state is, by the same shuffle.
     """
     first = None
     if ledger is not None:
         done = ledger.where(F.col("status") == SUCCESS)
-        # One row a key: the ledger may have the same event from several runs.
+        # The ledger may have the same event from several runs.
         keys = done.select("transaction_digest", F.col("event_sequence").alias("event_seq")).distinct()
-        first = keys.groupBy(*EVENT_KEY)
-    return decided.groupBy(*EVENT_KEY).transformWithState(
+        first = keys.groupBy(_slice().alias(_SLICE)).agg(F.collect_list(F.struct(*EVENT_KEY)).alias("keys")).groupBy(_SLICE)
+    if _SLICE not in decided.columns:
+        decided = decided.withColumn(_SLICE, _slice())
+    return decided.groupBy(_SLICE).transformWithState(
         OncePerKey(remember),
-        _nullable(decided.schema),
+        _nullable(decided.drop(_SLICE).schema),
         outputMode="Append",
         timeMode="ProcessingTime",
         initialState=first,
     )
 
 
+def by_slice(events: DataFrame) -> DataFrame:
+    """The events of a stream, shuffled as the state of `skip_done` is; a column tells the slice."""
+    return events.withColumn(_SLICE, _slice()).repartition(_SLICE)
+
+
+def _slice() -> Column:
+    return F.pmod(F.xxhash64(*EVENT_KEY), F.lit(SLICES)).cast("int")
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(field.name, field.dataType, True) for field in schema])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerflow.plans.pipeline import Pipeline
 from ledgerflow.sinks.store import Store
 from ledgerflow.sources.readers import stream_events
+from ledgerflow.streaming import ledger
 
 AS_OF = 5_000
 
@@ -31,3 +32,19 @@ def test_a_single_file_is_dealt_to_several_tasks(spark, make_events, tmp_path):
         spark.conf.set(name, before)
     assert parts[0] > 1
     assert store.processed_events().count() == 4000
+
+
+def test_ledger_state_is_kept_by_slices(spark, make_events, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "SLICES", 3)
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        one_file(make_events, tmp_path / "in", 100)
+    source = stream_events(spark, str(tmp_path / "in"), max_files_per_trigger=1)
+    Pipeline(ledger=True).run_stream(source, store, str(tmp_path / "state"), interval=None, as_of=AS_OF).awaitTermination()
+    assert sorted(r["event_seq"] for r in store.processed_events().collect()) == list(range(100))
+    assert store.event_ledger().count() == 100
+    with ledger.state_store(spark):
+        held = spark.read.format("statestore").option("stateVarName", "done").load(str(tmp_path / "state"))
+        keys = held.select("key.*").collect()
+    assert len(keys) == 100
+    assert len({tuple(key) for key in keys}) == 3
