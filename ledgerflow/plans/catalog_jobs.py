@@ -218,8 +218,10 @@ def _split(frame: DataFrame, purpose: str, parts: int) -> str:
     return folder
 
 
-def _files(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _files(spark: SparkSession, path: str, schema, per_batch: int | None = 1) -> DataFrame:
+    """A stream of so many files in a micro-batch, or of all that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(path)
 
 
 def _two_sources(spark: SparkSession, folder: str) -> Store:
@@ -426,8 +428,9 @@ def stream_transactions_with_events(spark: SparkSession, folder: str) -> DataFra
         events.where(F.col("event_seq") % 2 == half).write.mode("append").parquet(f"{root}/events")
         found.where(F.col("checkpoint_sequence") % 2 == half).write.mode("append").parquet(f"{root}/transactions")
         joined = joined_transactions(
-            _files(spark, f"{root}/transactions", schemas.TRANSACTIONS),
-            _files(spark, f"{root}/events", schemas.EVENTS),
+            # Larger tables are written as more files, each of which would be a micro-batch over all of the state.
+            _files(spark, f"{root}/transactions", schemas.TRANSACTIONS, None),
+            _files(spark, f"{root}/events", schemas.EVENTS, None),
             within="6 hours",
             as_of=AS_OF,
             delay="3650 days",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerflow import schemas
+from ledgerflow.plans import catalog_jobs
 from ledgerflow.plans.pipeline import Pipeline
 from ledgerflow.sinks.store import Store
 from ledgerflow.sources.readers import stream_events
@@ -48,3 +50,16 @@ def test_ledger_state_is_kept_by_slices(spark, make_events, tmp_path, monkeypatc
         keys = held.select("key.*").collect()
     assert len(keys) == 100
     assert len({tuple(key) for key in keys}) == 3
+
+
+def test_all_files_are_one_batch_if_wanted(spark, make_events, tmp_path):
+    for _ in range(3):
+        one_file(make_events, tmp_path / "in", 2)
+    batches = []
+    for per_batch in (1, None):
+        stream = catalog_jobs._files(spark, str(tmp_path / "in"), schemas.EVENTS, per_batch)
+        seen = []
+        writer = stream.writeStream.option("checkpointLocation", str(tmp_path / f"state-{per_batch}")).trigger(availableNow=True)
+        writer.foreachBatch(lambda frame, number: seen.append(frame.count())).start().awaitTermination()
+        batches.append(seen)
+    assert batches == [[2, 2, 2], [6]]
