@@ -31,7 +31,7 @@ from ledgerflow.operators.filters import filter_events, joins
 from ledgerflow.operators.ranges import start_checkpoint
 from ledgerflow.operators.rules import Rule
 from ledgerflow.operators.transactions import project_transactions
-from ledgerflow.sinks.files import drop_folder
+from ledgerflow.sinks.files import CODEC, drop_folder
 from ledgerflow.sinks.store import Store
 from ledgerflow.sources.readers import from_checkpoint
 from ledgerflow.streaming.ledger import REMEMBER, by_slice, skip_done, state_store
@@ -338,7 +338,7 @@ def _tagged(events: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def _written(rows: DataFrame, folder: str) -> DataFrame:
-    rows.write.parquet(folder)
+    rows.write.option("compression", CODEC).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

@@ -6,6 +6,9 @@ import os
 
 from pyarrow import fs
 
+#: How stored and intermediate tables are compressed: the copies of payloads in a row are alike.
+CODEC = "zstd"
+
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or path, and the path there."""

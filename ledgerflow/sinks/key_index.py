@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.functions.times import run_time
+from ledgerflow.sinks.files import CODEC
 from ledgerflow.sinks.small_log import SmallLog
 
 HASH, BUCKET = "_hash", "checkpoint_bucket"
@@ -123,7 +124,7 @@ class KeyIndex:
     def _write_keys(self, rows: DataFrame, segment: str) -> None:
         made = hashed(rows.select(*self.keys, BUCKET), self.keys).select(*self._key_schema.fieldNames())
         ordered = made.repartitionByRange(HASH).sortWithinPartitions(HASH)
-        ordered.write.option("maxRecordsPerFile", FILE_KEYS).parquet(f"{self._folder('keys')}/{segment}")
+        ordered.write.option("compression", CODEC).option("maxRecordsPerFile", FILE_KEYS).parquet(f"{self._folder('keys')}/{segment}")
 
     def _write_filters(self, segment: str) -> None:
         place = F.concat(F.lit(f"{segment}/"), F.col("_metadata.file_name")).alias("file")

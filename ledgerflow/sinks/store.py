@@ -27,7 +27,7 @@ from ledgerflow.functions.ids import row_id
 from ledgerflow.functions.times import as_of_column, run_time
 from ledgerflow.operators.reports import latest_progress
 from ledgerflow.operators.transactions import stored_transactions
-from ledgerflow.sinks.files import drop_folder
+from ledgerflow.sinks.files import CODEC, drop_folder
 from ledgerflow.sinks.key_index import BUCKET, KeyIndex, hashed
 from ledgerflow.sinks.small_log import SmallLog
 
@@ -322,7 +322,7 @@ class Store:
         seen, folder = Observation(), self.work_folder(table)
         # 16 bytes stand for the row itself.
         size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
-        found.observe(seen, F.count("*").alias("n"), F.sum(size).alias("bytes")).write.parquet(folder)
+        found.observe(seen, F.count("*").alias("n"), F.sum(size).alias("bytes")).write.option("compression", CODEC).parquet(folder)
         held = self.spark.read.schema(found.schema).parquet(folder)
         small = (seen.get["bytes"] or 0) <= BROADCAST_BYTES
         return (F.broadcast(held) if small else held), seen.get["n"]
@@ -335,7 +335,7 @@ class Store:
         laid_out = bucketed.observe(seen, F.count("*").alias("n"))
         if self.rebalance:
             laid_out = laid_out.hint("rebalance", BUCKET)
-        laid_out.sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).mode("append").parquet(
+        laid_out.sortWithinPartitions(BUCKET, *order).write.option("compression", CODEC).partitionBy(BUCKET).mode("append").parquet(
             self.table_path(table)
         )
         index.finish(segment)

@@ -63,3 +63,11 @@ def test_all_files_are_one_batch_if_wanted(spark, make_events, tmp_path):
         writer.foreachBatch(lambda frame, number: seen.append(frame.count())).start().awaitTermination()
         batches.append(seen)
     assert batches == [[2, 2, 2], [6]]
+
+
+def test_stored_tables_are_compressed_by_zstd(spark, make_events, tmp_path):
+    store = Store(spark, str(tmp_path))
+    Pipeline().run_batch(make_events({}, {"event_seq": 1}), store, as_of=AS_OF)
+    for table in ("processed_events", "processed_events_keys"):
+        files = list((tmp_path / table).rglob("part-*.parquet"))
+        assert files and all(file.name.endswith(".zstd.parquet") for file in files)
