@@ -7,7 +7,8 @@ append skips keys that are stored already, which an index beside each table know
 per table at a time is assumed.
 
 Large tables are laid out by `checkpoint_bucket`, a range of checkpoints, and
-sorted by checkpoint and type inside each file.
+sorted by checkpoint and type inside each file. A table whose appends reach over
+very many buckets has folders of several buckets, named by the first of them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,10 @@ from ledgerflow.sinks.small_log import SmallLog
 DEFAULT_BUCKET_SIZE = 100_000
 # Keys to be left out are broadcast up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Folders that one append writes, about; if its rows lie in more buckets, folders hold several.
+APPEND_FOLDERS = 256
+
+_SPANS = T.StructType([T.StructField("span", T.LongType()), T.StructField("at", T.TimestampType())])
 
 
 @dataclass(frozen=True)
@@ -61,6 +66,9 @@ class Claim:
 class Store:
     """The tables below `root`, with `bucket_size` checkpoints per partition folder.
 
+    An append that lies in more than `APPEND_FOLDERS` buckets makes the table's folders
+    wider from then on: `span` buckets each, a power of four.
+
     `scope` says where copies of a row can be. "table": anywhere, so an append
     looks through all stored keys. "checkpoint": only in the row's own checkpoint,
     as is the case for a ledger, where a transaction belongs to one checkpoint;
@@ -258,7 +266,13 @@ class Store:
 
     def events_in_range(self, start: int, end: int) -> DataFrame:
         """Stored events of checkpoints `start` to `end`, in order; prunes to their buckets."""
-        return read_range(self.processed_events(), start, end, bucket_size=self.bucket_size).drop(BUCKET)
+        span = self.span("processed_events")
+        return read_range(self.processed_events(), start, end, bucket_size=self.bucket_size, span=span).drop(BUCKET)
+
+    def span(self, table: str) -> int:
+        """Buckets that the widest folders of a table hold."""
+        newest = self._spans(table).last()
+        return newest["span"] if newest else 1
 
     def read(self, table: str, schema: T.StructType, *, bucketed: bool = False) -> DataFrame:
         """A stored table; before its first append, an empty frame of its schema."""
@@ -288,7 +302,8 @@ class Store:
         drop_folder(f"{self.table_path('_work')}/{table}")
         stored = self._stored(table, T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())]))
         index = self._index(table, schema, keys)
-        index.settle(stored)
+        # The index has each row's own bucket, whatever its folder holds.
+        index.settle(None if stored is None else stored.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size)))
         checkpoint = F.coalesce("checkpoint_sequence", F.lit(0).cast("bigint"))
         measures = (F.count("*").alias("_copies"), F.min(checkpoint).alias("_first"), F.max(checkpoint).alias("_last"))
         keyed = hashed(rows.groupBy(*keys).agg(*measures), keys).persist(StorageLevel.MEMORY_AND_DISK)
@@ -299,7 +314,9 @@ class Store:
                 F.count_if(F.col("_copies") > 1).alias("copied"),
                 F.min("_first").alias("first"),
                 F.max("_last").alias("last"),
+                F.approx_count_distinct(bucket_of("_first", self.bucket_size)).alias("buckets"),
             ).first()
+            self._widen(table, size)
             found, n_found = None, 0
             if stored is not None and size["keys"]:
                 buckets = (size["first"] // self.bucket_size, size["last"] // self.bucket_size)
@@ -327,12 +344,22 @@ class Store:
         small = (seen.get["bytes"] or 0) <= BROADCAST_BYTES
         return (F.broadcast(held) if small else held), seen.get["n"]
 
+    def _widen(self, table: str, size: Row) -> None:
+        """Make the table's folders wide enough for a batch; they never get narrower."""
+        if (size["buckets"] or 0) <= APPEND_FOLDERS:
+            return
+        reach, span = size["last"] // self.bucket_size - size["first"] // self.bucket_size + 1, 1
+        while reach > span * APPEND_FOLDERS:
+            span *= 4
+        if span > self.span(table):
+            self._spans(table).append({"span": span, "at": run_time(None)})
+
     def _write(self, rows: DataFrame, table: str, keys: list[str], order: list[str]) -> int:
         seen = Observation()
         bucketed = rows.withColumn(BUCKET, bucket_of("checkpoint_sequence", self.bucket_size))
         index = self._index(table, rows.schema, keys)
         segment = index.begin(bucketed)
-        laid_out = bucketed.observe(seen, F.count("*").alias("n"))
+        laid_out = bucketed.withColumn(BUCKET, folder_of(BUCKET, self.span(table))).observe(seen, F.count("*").alias("n"))
         if self.rebalance:
             laid_out = laid_out.hint("rebalance", BUCKET)
         laid_out.sortWithinPartitions(BUCKET, *order).write.option("compression", CODEC).partitionBy(BUCKET).mode("append").parquet(
@@ -347,6 +374,9 @@ class Store:
     def _log(self, table: str, schema: T.StructType) -> SmallLog:
         return SmallLog(self.table_path(table), schema)
 
+    def _spans(self, table: str) -> SmallLog:
+        return self._log(f"{table}_spans", _SPANS)
+
     def _stored(self, table: str, schema: T.StructType) -> DataFrame | None:
         # The reader lists the folder and names its absence; no private handle of the session is needed.
         try:
@@ -365,6 +395,12 @@ def bucket_of(checkpoint: Column | str, bucket_size: int) -> Column:
     return F.floor(F.coalesce(value, F.lit(0)) / bucket_size).cast("bigint")
 
 
+def folder_of(bucket: Column | str, span: int) -> Column:
+    """The first of the `span` buckets that lie in a bucket's folder."""
+    value = F.col(bucket) if isinstance(bucket, str) else bucket
+    return value - F.pmod(value, F.lit(span)) if span > 1 else value
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str], *, small: bool = False) -> DataFrame:
     """Rows of the batch, one per key, whose key is not stored.
 
@@ -420,16 +456,19 @@ def _measured(found: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def read_range(
-    processed: DataFrame, start: int, end: int, *, bucket_size: int | None = None
+    processed: DataFrame, start: int, end: int, *, bucket_size: int | None = None, span: int | None = None
 ) -> DataFrame:
     """Events of checkpoints `start` to `end`, both included, in a total order.
 
     Spark cannot know how buckets follow from checkpoints; given the `bucket_size`
-    of a stored table, the condition on its folders is added here.
+    of a stored table and the `span` of its folders, the condition on its folders is
+    added here. Without the span it is that on the last folder alone.
     """
     chosen = processed.where(F.col("checkpoint_sequence").between(start, end))
     if bucket_size:
-        chosen = chosen.where(F.col(BUCKET).between(start // bucket_size, end // bucket_size))
+        chosen = chosen.where(F.col(BUCKET) <= end // bucket_size)
+        if span:
+            chosen = chosen.where(F.col(BUCKET) >= start // bucket_size // span * span)
     return chosen.orderBy("checkpoint_sequence", "processed_at", *schemas.EVENT_KEY)
 
 

@@ -50,7 +50,7 @@ def query_events(
     looked for in that many checkpoints behind the cursor, and the window grows
     fourfold until the page is full or the data ends, so the result is the same
     while the scan stays near the page. On a table written by the sinks, pass its
-    `bucket_size` too, so that windows prune partitions.
+    `bucket_size` too, so that ascending windows prune partitions.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -122,19 +122,15 @@ def _search_windows(rest, matching, cursor, limit, descending, bucket_size, wind
     while True:
         edge = start - window if descending else start + window
         inside = first >= edge if descending else first <= edge
-        if bucket_size:
-            inside = inside & _bucket_side(edge, bucket_size, descending)
+        if bucket_size and not descending:
+            # A folder may begin before the edge that lies in it, so downwards it is the files' statistics that prune.
+            inside = inside & (F.col("checkpoint_bucket") <= edge // bucket_size)
         rows = _top(rest.where(inside), limit, descending)
         if len(rows) > limit or (edge <= low if descending else edge >= high):
             return rows
         window *= 4
 
 
-def _bucket_side(edge: int, bucket_size: int, descending: bool) -> Column:
-    bucket = F.col("checkpoint_bucket")
-    return bucket >= edge // bucket_size if descending else bucket <= edge // bucket_size
-
-
 def _top(df: DataFrame, limit: int, descending: bool) -> list:
     return df.orderBy(*_order(descending)).limit(limit + 1).collect()
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas
+from ledgerflow.operators import enrich
 from ledgerflow.plans import catalog_jobs
 from ledgerflow.plans.pipeline import Pipeline
+from ledgerflow.sinks import store as sinks
 from ledgerflow.sinks.store import Store
+from ledgerflow.sinks.zones import Zones
+from ledgerflow.sources.paging import query_events
 from ledgerflow.sources.readers import stream_events
 from ledgerflow.streaming import ledger
 
@@ -71,3 +76,27 @@ def test_stored_tables_are_compressed_by_zstd(spark, make_events, tmp_path):
     for table in ("processed_events", "processed_events_keys"):
         files = list((tmp_path / table).rglob("part-*.parquet"))
         assert files and all(file.name.endswith(".zstd.parquet") for file in files)
+
+
+@pytest.mark.parametrize("scope", ["table", "checkpoint"])
+def test_appends_over_many_buckets_write_few_folders(spark, make_events, tmp_path, monkeypatch, scope):
+    monkeypatch.setattr(sinks, "APPEND_FOLDERS", 4)
+    store = Store(spark, str(tmp_path), bucket_size=2)
+    numbers = [0, 1, None, *range(6, 200, 3)]
+    make = lambda own: enrich.enrich_events(make_events(*[{"event_seq": i, "checkpoint_sequence": n} for i, n in own]), as_of=AS_OF)
+    rows = list(enumerate(numbers))
+    # A narrow append comes first: its folders stay beside the wider ones.
+    assert store.append_events(make(rows[20:22]), scope=scope).written == 2
+    assert store.append_events(make(rows), scope=scope).written == len(rows) - 2
+    for part in (rows, rows[3:9], rows[-2:]):
+        assert store.append_events(make(part), scope=scope).written == 0
+    assert len(list((tmp_path / "processed_events").glob("checkpoint_bucket=*"))) <= 4 + 2
+    assert store.span("processed_events") == 64
+    for start, end in ((0, 5), (60, 72), (130, 199)):
+        found = [r["checkpoint_sequence"] for r in store.events_in_range(start, end).collect()]
+        assert found == sorted(n or 0 for n in numbers if start <= (n or 0) <= end)
+    for descending in (False, True):
+        full = sorted(((n or 0, i) for i, n in rows), reverse=descending)
+        own = store.processed_events()
+        for page in (Zones(store).page(limit=10, descending=descending), query_events(own, limit=10, descending=descending, bucket_size=2, window=5)):
+            assert [(r["checkpoint_sequence"], r["event_seq"]) for r in page.data.collect()] == full[:10]
