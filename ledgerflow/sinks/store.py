@@ -35,6 +35,8 @@ from ledgerflow.sinks.small_log import SmallLog
 DEFAULT_BUCKET_SIZE = 100_000
 # Keys to be left out are broadcast up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows that one task sorts to merge copies, about, and copies of a key beyond which they are merged in two steps.
+TASK_ROWS, HOT_COPIES = 1 << 19, 1 << 12
 # Folders that one append writes, about; if its rows lie in more buckets, folders hold several.
 APPEND_FOLDERS = 256
 
@@ -337,9 +339,7 @@ class Store:
         if found is None:
             return None, 0
         seen, folder = Observation(), self.work_folder(table)
-        # 16 bytes stand for the row itself.
-        size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
-        found.observe(seen, F.count("*").alias("n"), F.sum(size).alias("bytes")).write.option("compression", CODEC).parquet(folder)
+        found.observe(seen, F.count("*").alias("n"), F.sum(_key_bytes(keys)).alias("bytes")).write.option("compression", CODEC).parquet(folder)
         held = self.spark.read.schema(found.schema).parquet(folder)
         small = (seen.get["bytes"] or 0) <= BROADCAST_BYTES
         return (F.broadcast(held) if small else held), seen.get["n"]
@@ -430,14 +430,27 @@ def unique_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Only the keys are shuffled, to find those that repeat. The other rows stay
     where they are; copies are merged before their shuffle, so it does not matter
-    if most rows are copies of one.
+    if most rows are copies of one. If too many keys repeat to be broadcast, all
+    rows are dealt by key to tasks of about `TASK_ROWS`, and only those of keys with
+    more than `HOT_COPIES` are merged before.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1).select(*keys)
-    side = _measured(repeated, keys)
-    if side is None:
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    repeated = counted.where(F.col("_copies") > 1)
+    size = F.when(F.col("_copies") > 1, _key_bytes(keys))
+    n_bytes, n_rows, most = counted.agg(F.sum(size), F.sum("_copies"), F.max("_copies")).first()
+    if n_bytes is None:
         return rows
-    copies = _join(rows, side, keys, "left_semi").dropDuplicates(keys)
-    return _join(rows, side, keys, "left_anti").unionByName(copies)
+    if n_bytes <= BROADCAST_BYTES:
+        side = F.broadcast(repeated.select(*keys))
+        copies = _join(rows, side, keys, "left_semi").dropDuplicates(keys)
+        return _join(rows, side, keys, "left_anti").unionByName(copies)
+    parts = -(-n_rows // TASK_ROWS)
+    if most <= HOT_COPIES:
+        return rows.repartition(parts, *keys).dropDuplicates(keys)
+    hot = repeated.where(F.col("_copies") > HOT_COPIES).select(*keys)
+    # Hot copies are dealt to all tasks, which keep one of a key each before these meet.
+    spread = _join(rows, hot, keys, "left_semi").repartition(parts, *keys, F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+    return _join(rows, hot, keys, "left_anti").repartition(parts, *keys).dropDuplicates(keys).unionByName(spread.dropDuplicates(keys))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -446,10 +459,14 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return left.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
 
 
+def _key_bytes(keys: list[str]) -> Column:
+    """Of a row's key; 16 bytes stand for the row itself."""
+    return F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
+
+
 def _measured(found: DataFrame, keys: list[str]) -> DataFrame | None:
     """Keys for a join: none at all, marked for broadcast if few, or as they are."""
-    size = F.octet_length(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) + 16
-    n, n_bytes = found.agg(F.count("*"), F.sum(size)).first()
+    n, n_bytes = found.agg(F.count("*"), F.sum(_key_bytes(keys))).first()
     if not n:
         return None
     return F.broadcast(found) if n_bytes <= BROADCAST_BYTES else found

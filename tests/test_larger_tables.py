@@ -100,3 +100,16 @@ def test_appends_over_many_buckets_write_few_folders(spark, make_events, tmp_pat
         own = store.processed_events()
         for page in (Zones(store).page(limit=10, descending=descending), query_events(own, limit=10, descending=descending, bucket_size=2, window=5)):
             assert [(r["checkpoint_sequence"], r["event_seq"]) for r in page.data.collect()] == full[:10]
+
+
+@pytest.mark.parametrize("hot", [10**6, 5])
+def test_many_copies_are_merged_in_bounded_tasks(spark, monkeypatch, hot):
+    monkeypatch.setattr(sinks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(sinks, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(sinks, "HOT_COPIES", hot, raising=False)
+    keys = [(f"tx{n}", n % 3) for n in range(300)] * 2 + [("hot", 0), (None, 1), ("x", None)] * 40 + [("one", 1)]
+    rows = spark.createDataFrame([(*key, f"v{key}") for key in keys], "transaction_digest string, event_seq int, value string")
+    found = sinks.unique_rows(rows, schemas.EVENT_KEY)
+    sizes = [len(part) for part in found.rdd.glom().collect()]
+    assert sum(sizes) == len(set(keys)) and max(sizes) < 75
+    assert {tuple(row) for row in found.collect()} == {(*key, f"v{key}") for key in keys}
