@@ -10,6 +10,7 @@ positions, and the words they cover are merged into spans.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +36,7 @@ class WaveletTree:
         self.zeros: list[int] = []
         for level in range(self.bits - 1, -1, -1):
             bit = (values >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int64))))
+            self.ones.append(np.concatenate((np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32))))
             self.zeros.append(len(values) - int(self.ones[-1][-1]))
             values = np.concatenate((values[bit == 0], values[bit == 1]))
         # Where a symbol's block begins on the last level.
@@ -144,26 +145,33 @@ class Windows:
         return cls(words, patterns, lengths, [tuple(sorted(i for i in ids if i is not None)) for ids in found.values()])
 
 
-def search_shard(texts: list[list[bytes]], windows: Windows) -> tuple[list[list[tuple[int, int]]], list[set]]:
-    """Merged spans of hit words, and items with occurring windows, of each text."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
-    if not len(windows.lengths):
-        return spans, items
-    shortest = int(windows.lengths.min())
+def search_shard(texts: Iterable[bytes], windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
+    """Number of words, merged spans of hit words, and items with occurring windows, of each text.
+
+    Words are numbered text by text: of a shard's words only the numbers are held.
+    """
     known = windows.words.get
     gap = len(windows.words) + 1
-    starts = np.cumsum([0, *(len(words) + 1 for words in texts)])
-    numbers = np.full(starts[-1], gap, np.int64)
-    for at, words in zip(starts.tolist(), texts, strict=False):
-        numbers[at : at + len(words)] = [known(word, gap) for word in words]
+    parts: list[np.ndarray] = []
+    for text in texts:
+        words = plain_words(text)
+        words.append(b"")  # no word is empty: a gap behind each text
+        parts.append(np.fromiter((known(word, gap) for word in words), np.int32, len(words)))
+    n_words = [len(part) - 1 for part in parts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in parts]
+    items: list[set] = [set() for _ in parts]
+    if not len(windows.lengths) or not parts:
+        return n_words, spans, items
+    shortest = int(windows.lengths.min())
+    starts = np.cumsum([0, *map(len, parts)])
+    numbers = np.concatenate(parts)
     # Runs of known words; those that no window fits into go.
     edges = np.flatnonzero(np.diff(np.concatenate(([True], numbers == gap, [True])).astype(np.int8)))
     first, last = edges[::2], edges[1::2]
     long = last - first >= shortest
     first, last = first[long], last[long]
     if not len(first):
-        return spans, items
+        return n_words, spans, items
     sizes = last - first + 1  # each run with the gap behind it
     ends = np.cumsum(sizes)
     original = np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)
@@ -183,7 +191,14 @@ def search_shard(texts: list[list[bytes]], windows: Windows) -> tuple[list[list[
     found = np.unique(np.stack((np.searchsorted(starts, at, side="right") - 1, which)), axis=1)
     for text, window in found.T.tolist():
         items[text].update(windows.items[window])
-    return spans, items
+    return n_words, spans, items
+
+
+def _texts(part: pa.RecordBatch) -> Iterator[bytes]:
+    """The shard's texts a hundred at a time, so that few of them are held as Python's bytes."""
+    column = part.column("text")
+    for at in range(0, len(column), 100):
+        yield from texts_as_bytes(column.slice(at, 100))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -233,11 +248,10 @@ def _search(rows: DataFrame, items: list, width: int, numbered: bool) -> DataFra
 
     def work():
         def batch(part: pa.RecordBatch) -> dict:
-            texts = [plain_words(text) for text in texts_as_bytes(part.column("text"))]
-            spans, found = search_shard(texts, shared.value)
+            n_words, spans, found = search_shard(_texts(part), shared.value)
             return {
                 "doc_id": part.column("doc_id"),
-                "n_words": pa.array(map(len, texts), pa.int64()),
+                "n_words": pa.array(n_words, pa.int64()),
                 "spans": pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], _SPANS),
                 "items": pa.array([sorted(map(str, own)) for own in found], pa.list_(pa.string())),
             } | ({"row": part.column("row")} if numbered else {})
@@ -283,9 +297,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def clean(part: pa.RecordBatch) -> list[bool]:
-        texts = [plain_words(text) for text in texts_as_bytes(part.column("text"))]
-        hits = (sum(end - start for start, end in own) for own in search_shard(texts, shared.value)[0])
-        return [not n or 20 * n < len(text) for n, text in zip(hits, texts, strict=True)]
+        n_words, spans, _ = search_shard(_texts(part), shared.value)
+        hits = (sum(end - start for start, end in own) for own in spans)
+        return [not n or 20 * n < words for n, words in zip(hits, n_words, strict=True)]
 
     return filter_slices(docs, lambda: clean, SHARD_ROWS)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -117,3 +118,14 @@ def test_what_is_remembered():
     assert held["a"] == 1 and "b" not in held
     held.update(dict.fromkeys("zyxwv", 2))
     assert sorted(held.missing({"a", "b"})) == ["b"]
+
+
+def test_a_shard_holds_numbers_of_words_only():
+    windows = decontaminate.Windows.of([(1, words(4, 15))], 13)
+    text = " ".join(f"other{i}" for i in range(5000)).encode()
+    tracemalloc.start()
+    n_words, spans, items = decontaminate.search_shard((text for _ in range(100)), windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_words == [5000] * 100 and not any(spans) and not any(items)
+    assert peak < 30 * 500_000
