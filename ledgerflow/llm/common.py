@@ -46,6 +46,8 @@ def map_slices(
             columns = function(part)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([columns[name] for name in names], names=names)
+        # The worker lives on: what this task's batches took goes back.
+        pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ import functools
 import os
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from ledgerflow.llm.common import keep, map_slices
 #: Words and other chunks whose ids a worker remembers, and the longest of them.
 REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
+#: Texts whose chunks are looked up together.
+TEXTS_AT_ONCE = 200
 #: Pieces that one bucket of a class takes, at least; a bucket leaves one bin unfilled at most.
 BUCKET_PIECES = 4096
 
@@ -137,6 +140,12 @@ def _chunk_ids(tokenizer: str, remembered: int) -> ChunkIds:
     return ChunkIds(tokenizer, remembered)
 
 
+def _joined(texts: pa.Array, ids_of: ChunkIds) -> Iterator[bytes]:
+    """The ids of each text; the chunks of `TEXTS_AT_ONCE` texts are held at a time."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        yield from ids_of.join([(text or "").replace("\n", " ").split(" ") for text in texts.slice(at, TEXTS_AT_ONCE).to_pylist()])
+
+
 def document_pieces(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int, slack: int, remembered: int = REMEMBERED, across_tasks: bool = True
 ) -> DataFrame:
@@ -148,9 +157,8 @@ def document_pieces(
         plans: dict[int, list[tuple[int, int]]] = {}
 
         def batch(part: pa.RecordBatch) -> dict:
-            texts = [(text or "").replace("\n", " ").split(" ") for text in part.column("text").to_pylist()]
             rows: list[tuple] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.join(texts), strict=True):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), _joined(part.column("text"), ids_of), strict=True):
                 whole = memoryview(ids + end)
                 total, start = len(whole) // 4, 0
                 tail = total % capacity

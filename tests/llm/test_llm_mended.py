@@ -7,6 +7,7 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from ledgerflow.llm import decontaminate, html_text, neighbours, ngram_join, packing
@@ -129,3 +130,15 @@ def test_a_shard_holds_numbers_of_words_only():
     tracemalloc.stop()
     assert n_words == [5000] * 100 and not any(spans) and not any(items)
     assert peak < 30 * 500_000
+
+
+def test_chunks_of_few_texts_are_held_at_a_time():
+    sizes = []
+
+    class Ids:
+        def join(self, texts):
+            sizes.append(len(texts))
+            return [b""] * len(texts)
+
+    assert len([*packing._joined(pa.array(["a b", None] * 300), Ids())]) == 600
+    assert max(sizes) <= 200
