@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 import tracemalloc
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from ledgerflow.llm import decontaminate, html_text, neighbours, ngram_join, packing
 from ledgerflow.llm.queries import WORD_TOKENIZER
@@ -142,3 +144,24 @@ def test_chunks_of_few_texts_are_held_at_a_time():
 
     assert len([*packing._joined(pa.array(["a b", None] * 300), Ids())]) == 600
     assert max(sizes) <= 200
+
+
+def test_a_known_word_costs_no_walk_through_memory():
+    held = packing.Remembered(10**6)
+    held.update((str(i), i) for i in range(400_000))
+    few = [{str(i), "new"} for i in range(300)]
+    start = time.thread_time()
+    assert all(held.missing(keys) == ["new"] for keys in few)
+    assert time.thread_time() - start < 0.5
+
+
+def test_chunks_have_the_library_s_ids():
+    letters = "abZ.,ÀÿªµºßøÞ×÷ǅ中я \n\t\r\x00-9_İŉ'"
+    rng = random.Random(3)
+    texts = ["", "  ", "Word.,", "x" * 65, "Y" * 64 + ".", *("".join(rng.choices(letters, k=rng.randint(1, 90))) for _ in range(500))]
+    library = Tokenizer.from_file(WORDS)
+    wanted = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    ids = packing.ChunkIds(WORDS, 50)
+    for offset in (0, 3):
+        given = pa.array([None, *texts]).slice(offset)
+        assert [*packing._joined(given, ids)] == [b"", *wanted][offset:]
