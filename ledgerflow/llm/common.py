@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from ledgerflow.session import scratch_folder
 
 #: Rows of one Arrow batch that are worked on together; bounds a worker's memory.
 SLICE_ROWS = 1000
+_C_LIBRARY = ctypes.CDLL(None)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +36,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """At the end of a task: its worker lives on, and what its batches took goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C_LIBRARY, "malloc_trim"):
+        _C_LIBRARY.malloc_trim(0)
+
+
 def map_slices(
     frame: DataFrame, work: Callable[[Callable], Callable], schema: str, rows: int = SLICE_ROWS
 ) -> DataFrame:
@@ -46,8 +55,8 @@ def map_slices(
             columns = function(part)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([columns[name] for name in names], names=names)
-        # The worker lives on: what this task's batches took goes back.
-        pa.default_memory_pool().release_unused()
+        del function
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
@@ -70,6 +79,8 @@ def filter_slices(frame: DataFrame, work: Callable[[], Callable], rows: int = SL
         function = work()
         for part in sliced(batches, rows):
             yield part.filter(pa.array(function(part), pa.bool_()))
+        del function
+        give_back()
 
     return frame.mapInArrow(run, frame.schema)
 

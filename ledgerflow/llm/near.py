@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import keep, map_slices, sliced, texts_as_bytes
+from ledgerflow.llm.common import give_back, keep, map_slices, sliced, texts_as_bytes
 
 #: Words whose hash a task remembers; a longer memory saves little and costs 180 bytes a word.
 REMEMBERED = 100_000
@@ -131,6 +131,8 @@ def signature_rows(docs: DataFrame, cutter: Callable[[], Cutter], sign: Signer)
                 keys = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(own) for own in sigs])
                 arrays = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["sig", "key"])
+        del cut, signed
+        give_back()
 
     return _rows(docs).where("doc_id is not null").mapInArrow(run, "sig long, key long")
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import map_slices
+from ledgerflow.llm.common import give_back, map_slices, sliced
 
 #: Strings that a part of a pattern may stand for and still be listed.
 MOST_STRINGS = 64
@@ -229,7 +229,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
 
     def run(batches):
         compiled = [(rule, rule.compiled(), trigram_query(rule.pattern)) for rule in rules]
-        for part in batches:
+        for part in sliced(batches):
             texts = pc.fill_null(part.column("text").cast(pa.string()), "")
             segment = Segment(texts)
             spans: dict[int, list] = {}
@@ -256,6 +256,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
                     sizes[i] = len(new[i])
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerflow.llm import decontaminate, html_text, neighbours, ngram_join, packing
+from ledgerflow.llm import decontaminate, html_text, neighbours, ngram_join, packing, secrets
 from ledgerflow.llm.queries import WORD_TOKENIZER
 
 WORDS = public_tokenizers.path(WORD_TOKENIZER)
@@ -165,3 +165,18 @@ def test_chunks_have_the_library_s_ids():
     for offset in (0, 3):
         given = pa.array([None, *texts]).slice(offset)
         assert [*packing._joined(given, ids)] == [b"", *wanted][offset:]
+
+
+def test_redaction_takes_few_texts_at_a_time():
+    sizes = []
+    batches = iter([pa.RecordBatch.from_pydict({"doc_id": [*range(5000)], "text": ["token = abcdefgh"] * 5000})])
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return [sizes.append(part.num_rows) or part for part in run(batches)]
+
+    found = secrets.redact_secrets(Docs())
+    assert max(sizes) <= 1000 and sum(sizes) == 5000
+    assert {text for part in found for text in part.column("text").to_pylist()} == {"[secret]"}
