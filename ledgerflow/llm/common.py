@@ -96,14 +96,14 @@ def _table(is_gap: Callable[[int], bool]) -> bytes:
 
 
 #: Lower-cases A-Z and nothing else; bytes.split() then cuts at \x20 and \x09-\x0D.
-_SPACED = _table(lambda c: False)
+SPACED = _table(lambda c: False)
 #: Also makes a gap of every ASCII character that is neither letter nor digit.
 _ALPHANUMERIC = _table(lambda c: c < 0x80 and not chr(c).isalnum())
 
 
 def spaced_words(text: bytes) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case."""
-    return text.translate(_SPACED).split()
+    return text.translate(SPACED).split()
 
 
 def plain_words(text: bytes) -> list[bytes]:

@@ -9,6 +9,7 @@ import pytest
 from odd_rows import ODD
 
 from ledgerflow.llm import near, neighbours, ngram_join, paragraph_dedup
+from ledgerflow.llm.common import SPACED, spaced_words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -210,6 +211,43 @@ def test_windows_begin_at_the_same_words():
     assert set.intersection(*seen)
 
 
+def test_copies_of_a_text_are_compared_once(make_docs):
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared, whole = fresh(60), fresh(400)
+    copied = " ".join(whole[:200] + shared + whole[200:])
+    other = " ".join(fresh(30) + shared + fresh(30))
+    # 5 has two texts, and 9 stands twice; 1 holds a passage of the copied text.
+    docs = make_docs((5, copied), (9, copied), (7, copied), (9, copied), (5, other), (1, other + " end"), (20, " ".join(fresh(200))))
+    texts = paragraph_dedup._one_of_each(docs, 50)
+    assert sorted((r["doc_id"], r["high"]) for r in texts.rows.collect()) == [(1, 1), (5, 5), (5, 9), (20, 20)]
+    assert sorted(r["doc_id"] for r in texts.copies.collect()) == [7, 9, 9]
+    copied_part = texts.classes.collect()[0]["part"]
+    windows = paragraph_dedup._shared_windows(texts, 51).collect()
+    # The copied text is one row; of its 410 windows only the ten of the passage stand here, and at most seven beside them on each side.
+    assert sum(r["whole"] for r in windows) == 1
+    assert 10 <= sum(r["part"] == copied_part and r["doc_id"] == 5 and not r["whole"] for r in windows) <= 24
+    found = {(r["doc_id"], r["start"], r["end"], r["component_id"], r["removed"]) for r in paragraph_dedup.repeated_passages(docs).collect()}
+    assert {(i, 0, len(copied), 1, True) for i in (7, 9)} <= found
+    assert {i for i, *_ in found} == {1, 5, 7, 9} and all(not r[-1] for r in found if r[0] == 1)
+    lines = [r for r in paragraph_dedup.repeated_paragraphs(docs).collect() if r["kind"] == "paragraph" and r["end"] == len(copied)]
+    assert sorted((r["doc_id"], r["n_copies"], r["removed"]) for r in lines) == [(5, 4, False), (7, 4, True), (9, 4, True), (9, 4, True)]
+
+
+def test_words_of_all_bytes_at_once(monkeypatch):
+    text = " É a\u00a0b\tA  word\x0bWORD\n\x1cx \n".encode() + b"long" * 20 + b" word"
+    one = paragraph_dedup.Words(text)
+    words = spaced_words(text)
+    assert [bytes(one.letters[a:b]) for a, b in zip(one.begins, one.ends)] == words
+    hashes = one.hashes()
+    assert all((x == y) == (a == b) for x, a in zip(hashes, words) for y, b in zip(hashes, words))
+    places = one.characters(one.begins).tolist()
+    assert [text.decode()[at:].encode().translate(SPACED).split()[0] for at in places] == words
+    monkeypatch.setattr(paragraph_dedup, "HASHED_BYTES", 8)
+    assert (paragraph_dedup.Words(text).hashes() == hashes).all()
+    assert not len(paragraph_dedup.Words(b"").hashes())
+
+
 def test_paragraphs_of_odd_rows(make_docs):
     assert paragraph_dedup.repeated_paragraphs(make_docs(*ODD)).count() == 0
     twice = paragraph_dedup.repeated_paragraphs(make_docs((4, "Word " * 3000), (4, "Word " * 3000))).collect()
